@@ -152,7 +152,7 @@ def topk_classes(df: DataFrame) -> DataFrame:
     labels = stage(
         vocabulary.fit_labels(df.select(F.lpad(F.col("label").cast("string"), 2, "0").alias(CODE)), CODE), "labels"
     )
-    ranked = metrics.top_classes(df).select("summons_number", F.posexplode("top").alias("rank", "entry"))
+    ranked = metrics.top_classes(df).select("summons_number", F.posexplode_outer("top").alias("rank", "entry"))
     coded = ranked.select("summons_number", (F.col("rank") + 1).alias("rank"), "entry.*")
     return vocabulary.decode(coded, labels, "code", CODE)
 
