@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from kerbstat.operators import classes, features, metrics, scan, stats, vocabulary
 from kerbstat.plans import views
-from kerbstat.plans.model import fit_model
+from kerbstat.plans.model import ClassModel, fit_model
 from kerbstat.plans.scoring import score
 from kerbstat.plans.training import run_evaluation, run_training
 from kerbstat.schema import CODE, COLUMN_ROLES, TRAINING_COLUMNS
@@ -144,7 +144,7 @@ def rare_class_filter(df: DataFrame) -> DataFrame:
 
 
 def stratified_split(df: DataFrame) -> DataFrame:
-    return classes.stratified_split(rare_class_filter(df))
+    return classes.stratified_split(rare_class_filter(stage(df, "classes")))
 
 
 def topk_classes(df: DataFrame) -> DataFrame:
@@ -172,8 +172,7 @@ def saved_model_report(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = f"{work_dir(spark)}/models-{uuid4().hex}"
     trained(df, output=root)
-    model = type(trained_model(df)).load_latest(spark, root)
-    return run_evaluation(df, model)[0]
+    return run_evaluation(df, ClassModel.load_latest(spark, root))[0]
 
 
 def trained_model(df: DataFrame):

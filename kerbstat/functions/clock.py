@@ -6,9 +6,9 @@ features the lenient one. They also number the days of the week differently.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from kerbstat.functions.text import flag, strip, upper_strip
+from kerbstat.functions.text import flag, upper_strip
 
 
 def strict_hour(text: Column) -> Column:
@@ -22,21 +22,23 @@ def strict_hour(text: Column) -> Column:
     return F.when(shaped, base + F.when(text.endswith("P"), 12).otherwise(0)).cast("int")
 
 
-def lenient_hour(text: Column) -> Column:
+def add_lenient_hour(df: DataFrame, text: str, hour: str = "hour") -> DataFrame:
     """Hour of the first two characters, shifted by a final A or P, null outside 0..23.
 
     Surrounding whitespace and case do not matter; at least four characters are needed; text
-    with neither letter is read as a 24-hour clock.
+    with neither letter is read as a 24-hour clock. The steps are columns of their own, so
+    that each is worked out once per row and the generated code stays small.
     """
-    t = upper_strip(text)
-    head = F.substring(t, 1, 2)
-    number = F.when(head.rlike(r"^(?:[0-9]{2}|[+-][0-9]|[0-9]\s)\z"), strip(head).try_cast("int"))
-    hour = (
-        F.when(t.endswith("P") & (number != 12), number + 12)
-        .when(t.endswith("A") & (number == 12), 0)
-        .otherwise(number)
+    t, n = F.col("_text"), F.col("_number")
+    last = F.right(t, F.lit(1))
+    shift = F.when((last == "P") & (n != 12), 12).when((last == "A") & (n == 12), -12).otherwise(0)
+    return (
+        df.withColumn("_text", upper_strip(F.col(text)))
+        .withColumn("_number", F.when(F.length(t) >= 4, F.substring(t, 1, 2).try_cast("int")))
+        .withColumn("_number", n + shift)
+        .withColumn(hour, F.when(n.between(0, 23), n).cast("int"))
+        .drop("_text", "_number")
     )
-    return F.when((F.length(t) >= 4) & hour.between(0, 23), hour).cast("int")
 
 
 def time_of_day(hour: Column) -> Column:

@@ -23,11 +23,8 @@ CELLS_PER_DEGREE = 200
 
 def borough(county: Column) -> Column:
     """Borough of a county code, or Unknown."""
-    code = upper_strip(county)
-    name = F.lit("Unknown")
-    for label, codes in BOROUGH_CODES.items():
-        name = F.when(code.isin(codes), label).otherwise(name)
-    return name
+    pairs = [F.lit(v) for name, codes in BOROUGH_CODES.items() for code in codes for v in (code, name)]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), upper_strip(county)), F.lit("Unknown"))
 
 
 def plate_group(plate_type: Column) -> Column:

@@ -16,7 +16,7 @@ def add_temporal(df: DataFrame) -> DataFrame:
     """Calendar parts, lenient hour, part of the day and the day and hour flags."""
     day, dow, hour = F.col(DATE), F.col("day_of_week"), F.col("hour")
     return (
-        df.withColumns({DATE: clock.as_date(day), "hour": clock.lenient_hour(F.col("violation_time"))})
+        clock.add_lenient_hour(df.withColumn(DATE, clock.as_date(day)), "violation_time")
         .withColumns(
             {
                 "year": F.year(day),

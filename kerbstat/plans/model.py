@@ -16,7 +16,7 @@ from kerbstat.operators.features import feature_columns
 from kerbstat.operators.metrics import top_classes
 from kerbstat.operators.vocabulary import encode, encode_target, fit_labels, fit_vocabulary
 from kerbstat.schema import CODE, ID
-from kerbstat.session import stage
+from kerbstat.session import spread, stage
 
 # One training contract for both learners: 200 trees of depth 8, at least five rows in a leaf,
 # four fifths of the rows and of the features for each tree.
@@ -180,7 +180,7 @@ def fit_model(
         raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
     names = [row["value"] for row in labels.orderBy("code").collect()]
     encoded = encode_target(encode(train, vocabulary, categorical), labels, target)
-    matrix = stage(encoded.select(*numeric, *categorical, "label"), "matrix")
+    matrix = spread(stage(encoded.select(*numeric, *categorical, "label"), "matrix"))
 
     # The number of classes travels with the label, so the learner does not look for it.
     classes = {"ml_attr": {"type": "nominal", "num_vals": len(names)}}

@@ -19,6 +19,8 @@ def local_session(cpus: int | str = "*", name: str = "kerbstat", **conf: str) ->
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.host": "127.0.0.1",
         "spark.driver.bindAddress": "127.0.0.1",
+        # Beyond 8000 bytes HotSpot leaves a method uncompiled; Spark then does better to split it.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         **conf,
     }
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(name)
@@ -58,3 +60,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = os.path.join(work_dir(spark), f"{label}-{uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread the rows of a small input, one with fewer partitions than there are cores.
+
+    A large input has more splits than cores and passes as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

@@ -1,91 +1,74 @@
 """Citations derived from TPC-H shaped tables, one per line item.
 
-Nulls and dirty text are put in by modulus, so that every cleaning rule has work to do.
+Nulls and dirty text are put in by modulus of a row number ``k``, so that every cleaning rule
+has work to do.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kerbstat.schema import CITATION_SCHEMA
-
-AGENCIES = ["P", " t ", "S", "V", "p"]
-COUNTIES = ["NY", "MN", "K", "BK", "Q", "qn ", "BX", "R", "ST", "XX"]
-STREETS = [" AVE", " St", "  AVENUE ", " STREET", " BROADWAY", " RD", " STATE"]
-STATES = ["NY", "NJ", "PA", "CT"]
-PLATES = ["PAS", "COM", "omt ", "OMS", "SRF", "MED", "PHS", "APP"]
-
-
-def _pick(values: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
-
-
-def _two_digits(n: Column) -> Column:
-    return F.lpad(n.cast("string"), 2, "0")
-
-
-def _unless(rule: Column, value: Column) -> Column:
-    return F.when(~rule, value)
+from kerbstat.session import spread
+
+HELPERS = {
+    "k": "l_orderkey * 31 + l_partkey * 7 + l_suppkey * 3 + l_linenumber",
+    "vc": "least(l_partkey % 50, l_suppkey % 50)",
+}
+
+
+def _pick(values: str, index: str) -> str:
+    return f"split_part('{values}', ',', CAST(1 + {index} AS INT))"
+
+
+COLUMNS = {
+    "summons_number": """concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT),
+        CAST(round(l_extendedprice * 100) AS BIGINT))""",
+    "source_dataset": "'lineitem'",
+    "issue_date": "CASE WHEN k % 97 <> 0 THEN CAST(l_shipdate AS DATE) END",
+    "violation_time": """CASE
+        WHEN k % 23 = 0 THEN NULL
+        WHEN k % 29 = 0 THEN concat(' ', lpad(1 + k % 12, 2, '0'), '32a')
+        WHEN k % 31 = 0 THEN '1332P'
+        WHEN k % 37 = 0 THEN '1432'
+        WHEN k % 41 = 0 THEN 'abc'
+        WHEN k % 89 = 0 THEN '0032P'
+        ELSE concat(lpad(1 + k % 12, 2, '0'), lpad(k % 60, 2, '0'), CASE WHEN k % 5 < 2 THEN 'A' ELSE 'P' END) END""",
+    "violation_code": "CASE WHEN k % 101 = 0 THEN NULL WHEN k % 9973 = 0 THEN '99' ELSE CAST(vc AS STRING) END",
+    "violation_desc": "CASE WHEN k % 53 <> 0 THEN concat('CODE ', vc) END",
+    "issuing_agency": f"CASE WHEN k % 43 <> 0 THEN {_pick('P, t ,S,V,p', 'k % 5')} END",
+    "county": f"CASE WHEN k % 67 <> 0 THEN {_pick('NY,MN,K,BK,Q,qn ,BX,R,ST,XX', 'l_suppkey % 10')} END",
+    "precinct": "CASE WHEN k % 47 <> 0 THEN CAST(l_suppkey % 77 + 1 AS STRING) END",
+    "street_name": f"""CASE WHEN k % 59 = 0 THEN NULL WHEN k % 61 = 0 THEN '   ' ELSE concat('W ', l_suppkey % 13,
+        {_pick(' AVE, St,  AVENUE , STREET, BROADWAY, RD, STATE', 'l_partkey % 7')}) END""",
+    "intersecting_street": "p_brand",
+    "latitude": "CASE WHEN k % 7 <> 0 THEN 40.5002D + (l_partkey % 50) * 0.001D END",
+    "longitude": "CASE WHEN k % 7 <> 0 THEN -74.2002D + (l_suppkey % 50) * 0.001D END",
+    "fine_amount": "CASE WHEN k % 19 <> 0 THEN CAST(35 + (vc % 9) * 10 + k % 4 AS DECIMAL(10,2)) END",
+    "plate_id": "concat('P', l_orderkey)",
+    "registration_state": _pick("NY,NJ,PA,CT", "k % 4"),
+    "plate_type": f"CASE WHEN k % 71 <> 0 THEN {_pick('PAS,COM,omt ,OMS,SRF,MED,PHS,APP', 'k % 8')} END",
+    "soda_row_id": "concat('row-', k)",
+    "soda_created_at": "o_orderdate",
+    "soda_updated_at": "l_shipdate",
+    "ingested_at": "l_shipdate",
+}
 
 
 def citations_from_tpch(
     spark: SparkSession, path: str, columns: Iterable[str] | None = None
 ) -> DataFrame:
     """Citation table over ``path``; only the parents that the wanted columns need are joined."""
-    wanted = list(columns or CITATION_SCHEMA.fieldNames())
-    rows = spark.read.parquet(f"{path}/lineitem.parquet")
+    wanted = list(columns or COLUMNS)
+    rows = spread(spark.read.parquet(f"{path}/lineitem.parquet"), "l_orderkey", "l_linenumber")
     if "soda_created_at" in wanted:
         orders = spark.read.parquet(f"{path}/orders.parquet").select("o_orderkey", "o_orderdate")
         rows = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     if "intersecting_street" in wanted:
         part = spark.read.parquet(f"{path}/part.parquet").select("p_partkey", "p_brand")
         rows = rows.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
-    values = _expressions()
-    return rows.select(*[values[c].cast(CITATION_SCHEMA[c].dataType).alias(c) for c in wanted])
-
-
-def _expressions() -> dict[str, Column]:
-    order, part, supp, line = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
-    k = order * 31 + part * 7 + supp * 3 + line
-    code = F.least(part % 50, supp % 50)
-    hour12 = _two_digits(k % 12 + 1)
-    return {
-        "summons_number": F.concat_ws(
-            "-",
-            *[c.cast("string") for c in (order, line, part, supp)],
-            F.col("l_quantity").cast("int").cast("string"),
-            F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"),
-        ),
-        "source_dataset": F.lit("lineitem"),
-        "issue_date": _unless(k % 97 == 0, F.col("l_shipdate").cast("date")),
-        "violation_time": F.when(k % 23 == 0, F.lit(None).cast("string"))
-        .when(k % 29 == 0, F.concat(F.lit(" "), hour12, F.lit("32a")))
-        .when(k % 31 == 0, "1332P")
-        .when(k % 37 == 0, "1432")
-        .when(k % 41 == 0, "abc")
-        .when(k % 89 == 0, "0032P")
-        .otherwise(F.concat(hour12, _two_digits(k % 60), F.when(k % 5 < 2, "A").otherwise("P"))),
-        "violation_code": F.when(k % 101 == 0, F.lit(None).cast("string"))
-        .when(k % 9973 == 0, "99")
-        .otherwise(code.cast("string")),
-        "violation_desc": _unless(k % 53 == 0, F.concat(F.lit("CODE "), code.cast("string"))),
-        "issuing_agency": _unless(k % 43 == 0, _pick(AGENCIES, k % 5)),
-        "county": _unless(k % 67 == 0, _pick(COUNTIES, supp % 10)),
-        "precinct": _unless(k % 47 == 0, (supp % 77 + 1).cast("string")),
-        "street_name": F.when(k % 59 == 0, F.lit(None).cast("string"))
-        .when(k % 61 == 0, "   ")
-        .otherwise(F.concat(F.lit("W "), (supp % 13).cast("string"), _pick(STREETS, part % 7))),
-        "intersecting_street": F.col("p_brand"),
-        "latitude": _unless(k % 7 == 0, F.lit(40.5002) + (part % 50) * F.lit(0.001)),
-        "longitude": _unless(k % 7 == 0, F.lit(-74.2002) + (supp % 50) * F.lit(0.001)),
-        "fine_amount": _unless(k % 19 == 0, (code % 9 * 10 + k % 4 + 35).cast("decimal(10,2)")),
-        "plate_id": F.concat(F.lit("P"), order.cast("string")),
-        "registration_state": _pick(STATES, k % 4),
-        "plate_type": _unless(k % 71 == 0, _pick(PLATES, k % 8)),
-        "soda_row_id": F.concat(F.lit("row-"), k.cast("string")),
-        "soda_created_at": F.col("o_orderdate"),
-        "soda_updated_at": F.col("l_shipdate"),
-        "ingested_at": F.col("l_shipdate"),
-    }
+    return rows.selectExpr("*", *[f"{value} AS {name}" for name, value in HELPERS.items()]).selectExpr(
+        *[f"CAST({COLUMNS[c]} AS {CITATION_SCHEMA[c].dataType.simpleString()}) AS {c}" for c in wanted]
+    )
