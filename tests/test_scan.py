@@ -113,4 +113,4 @@ def test_jdbc_options():
 def test_staged_table_is_measured(spark):
     staged = stage(spark.range(100), "numbers")
     assert staged.count() == 100
-    assert staged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() < 100_000
+    assert staged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 100_000
