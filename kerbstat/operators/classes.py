@@ -8,7 +8,7 @@ from kerbstat.operators.stats import class_counts
 from kerbstat.schema import CODE, ID
 from kerbstat.session import stage
 
-BUCKET_DIGITS = 4
+ROWS_TO_RANK = 1_000_000
 
 
 def frequent_classes(df: DataFrame, label: str = CODE, least: int = 10) -> DataFrame:
@@ -33,6 +33,14 @@ def most_frequent(df: DataFrame, label: str, n: int) -> DataFrame:
     return counts.orderBy(F.desc("class_rows"), label).limit(n).select(label)
 
 
+def leading_digits(rows: int) -> int:
+    """Hex digits that leave at most ``ROWS_TO_RANK`` rows to each, were all rows one class."""
+    digits = 1
+    while rows > ROWS_TO_RANK * 16**digits:
+        digits += 1
+    return digits
+
+
 def stratified_split(
     df: DataFrame,
     label: str = CODE,
@@ -48,11 +56,14 @@ def stratified_split(
     whole: hashes are counted per class and leading digits, the counts show which few digits
     each cut falls into, and only the rows under those digits are ranked. The rows themselves
     are then compared with the cuts of their class, without a shuffle.
+
+    The table is read four times (once for its size only), so it should be staged.
     """
+    digits = leading_digits(df.count())
     draw = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key)))
     drawn = df.select(F.col(label).alias("_label"), F.struct(draw.alias("h"), F.col(key).alias("k")).alias("_draw"))
     bucketed = drawn.where(F.col("_label").isNotNull()).withColumn(
-        "_bucket", F.substring("_draw.h", 1, BUCKET_DIGITS)
+        "_bucket", F.substring("_draw.h", 1, digits)
     )
 
     label_group = Window.partitionBy("_label")
@@ -91,14 +102,14 @@ def stratified_split(
         "split-cuts",
     )
 
-    place = F.struct(draw.alias("h"), F.col(key).alias("k"))
     split = (
-        F.when(place <= F.col("_test_cut"), "test")
-        .when(place <= F.col("_held_cut"), "validation")
+        F.when(F.col("_draw") <= F.col("_test_cut"), "test")
+        .when(F.col("_draw") <= F.col("_held_cut"), "validation")
         .otherwise("train")
     )
     return (
-        df.join(cuts, F.col(label) == F.col("_l"), "left")
+        df.withColumn("_draw", F.struct(draw.alias("h"), F.col(key).alias("k")))
+        .join(cuts, F.col(label) == F.col("_l"), "left")
         .withColumn("split", split)
-        .drop("_l", *[f"{n}_cut" for n in wanted])
+        .drop("_l", "_draw", *[f"{n}_cut" for n in wanted])
     )

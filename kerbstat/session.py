@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 from uuid import uuid4
 
@@ -57,7 +56,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     execution splits hot keys.
     """
     spark = df.sparkSession
-    path = os.path.join(work_dir(spark), f"{label}-{uuid4().hex}")
+    path = f"{work_dir(spark)}/{label}-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -84,3 +84,13 @@ def test_targets(spark):
 def test_most_frequent_breaks_ties_by_class(spark):
     df = spark.createDataFrame([(c,) for c in (3, 3, 1, 1, 2)], "label int")
     assert [r[0] for r in classes.most_frequent(df, "label", 2).collect()] == [1, 3]
+
+
+def test_digits_grow_with_the_table():
+    assert [classes.leading_digits(n) for n in (0, 16_000_000, 16_000_001, 10**12)] == [1, 1, 2, 5]
+
+
+def test_split_with_many_digits(skewed, monkeypatch):
+    want = classes.stratified_split(skewed)
+    monkeypatch.setattr(classes, "ROWS_TO_RANK", 1)
+    assert classes.stratified_split(skewed).exceptAll(want).count() == 0
