@@ -51,11 +51,12 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split``: per class, ``test`` of the rows, ``validation`` of the rest, and train.
 
-    Rows are ordered within their class by a hash of seed and key, and the first ones are
-    taken, so the shares are exact and the split can be repeated. No class is ever sorted as a
-    whole: hashes are counted per class and leading digits, the counts show which few digits
-    each cut falls into, and only the rows under those digits are ranked. The rows themselves
-    are then compared with the cuts of their class, without a shuffle.
+    Rows without a class get no split. The others are ordered within their class by a hash of
+    seed and key, and the first ones are taken, so the shares are exact and the split can be
+    repeated. No class is ever sorted as a whole: hashes are counted per class and leading
+    digits, the counts show which few digits each cut falls into, and only the rows under those
+    digits are ranked. The rows themselves are then compared with the cuts of their class,
+    without a shuffle.
 
     The table is read four times (once for its size only), so it should be staged.
     """
@@ -103,7 +104,8 @@ def stratified_split(
     )
 
     split = (
-        F.when(F.col("_draw") <= F.col("_test_cut"), "test")
+        F.when(F.col(label).isNull(), F.lit(None))
+        .when(F.col("_draw") <= F.col("_test_cut"), "test")
         .when(F.col("_draw") <= F.col("_held_cut"), "validation")
         .otherwise("train")
     )

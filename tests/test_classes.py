@@ -94,3 +94,11 @@ def test_split_with_many_digits(skewed, monkeypatch):
     want = classes.stratified_split(skewed)
     monkeypatch.setattr(classes, "ROWS_TO_RANK", 1)
     assert classes.stratified_split(skewed).exceptAll(want).count() == 0
+
+
+def test_tiny_classes_and_rows_without_a_class(spark):
+    df = spark.createDataFrame(
+        [("a", "one"), ("b", "two"), ("c", "two"), ("d", None)], "summons_number string, violation_code string"
+    )
+    split = {r["summons_number"]: r["split"] for r in classes.stratified_split(df).collect()}
+    assert split == {"a": "train", "b": "train", "c": "train", "d": None}
