@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbstat.llm import quality
+from kerbstat.llm import quality, simhash
 from kerbstat.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document; links at two or fewer bits."""
+    found = simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, max_bits=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Measurements, failure bits and verdicts of every document."""
     judged = quality.apply_policies(quality.ledger(table(spark, folder, "documents")))
@@ -22,7 +28,10 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op8_quality_rules": op8_quality_rules}
+QUERIES: dict[str, Query] = {
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op8_quality_rules": op8_quality_rules,
+}
 
 ORACLES: dict[str, str] = {
     "op8_quality_rules": r"""
