@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbstat.llm import quality, simhash
+from kerbstat.llm import pii, quality, simhash
 from kerbstat.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document: base spans, and those that the classifier adds."""
+    return pii.digest(pii.find_personal_data(table(spark, folder, "documents")))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document; links at two or fewer bits."""
     found = simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, max_bits=2)
@@ -29,6 +34,7 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_pii": op1_pii,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
 }
