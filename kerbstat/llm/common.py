@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kerbstat.session import stage
@@ -81,3 +83,14 @@ def components(edges: DataFrame) -> DataFrame:
         e = stage(spokes.unionByName(hung).distinct(), "edges")
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def slices(batch: pa.RecordBatch, text: int, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about ``limit`` bytes of text at most (one row at least)."""
+    lengths = np.array(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0), dtype=np.int64)
+    ends, at = np.cumsum(lengths), 0
+    while at < batch.num_rows:
+        base = ends[at] - lengths[at]
+        stop = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbstat.llm import pii, quality, simhash
+from kerbstat.llm import packing, pii, quality, simhash
 from kerbstat.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,18 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, folder, "documents")))
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file is; the only place that knows."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, cut and packed into sequences of 4096 tokens."""
+    return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document; links at two or fewer bits."""
     found = simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, max_bits=2)
@@ -35,6 +47,7 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
+    "op4_packing": op4_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
 }
