@@ -16,6 +16,10 @@ WHITE = " \t\n\x0b\f\r"
 
 
 def plain_words(text):
+    return plain_words_cased("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def plain_words_cased(text):
     out, word = [], ""
     for ch in text or "":
         if ch in WHITE:
@@ -23,7 +27,7 @@ def plain_words(text):
                 out.append(word)
             word = ""
         else:
-            word += chr(ord(ch) + 32) if "A" <= ch <= "Z" else ch
+            word += ch
     return out + [word] if word else out
 
 
