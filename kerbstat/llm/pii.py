@@ -24,7 +24,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kerbstat.llm.common import let, spans_text
+from kerbstat.llm.common import let, running_ends, spans_text
 from kerbstat.session import stage
 
 # The base kinds in the order that sorts spans, and their patterns. A look-behind or \G (the
@@ -70,27 +70,6 @@ PRIOR = {1: {1: 4.0, 0: 3.0, -1: 1.0}, 0: {1: 1.0, 0: 3.0, -1: 4.0}}
 SPAN = "array<struct<start:bigint,rank:int,`end`:bigint,kind:string,value:string,left:string,right:string>>"
 
 
-def running_ends(lengths: Column, block: int = 256) -> Column:
-    """Prefix sums of an array, in blocks, so that long arrays do not cost their square."""
-
-    def grow(part: Column, first: Column) -> Column:
-        sums = F.aggregate(part, F.array(first), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-        return F.slice(sums, 2, F.size(sums))
-
-    def blocks(xs: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int")), lambda b: F.slice(xs, b * block + 1, block))
-        zero = F.lit(0).cast("bigint")
-
-        def joined(ps: Column) -> Column:
-            totals = F.transform(ps, lambda p: F.aggregate(p, zero, lambda a, x: a + x))
-            firsts = F.aggregate(totals, F.array(zero), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-            return let(firsts, lambda f: F.flatten(F.transform(ps, lambda p, b: grow(p, F.get(f, b)))))
-
-        return let(parts, joined)
-
-    return let(lengths, lambda xs: F.when(F.size(xs) > 0, blocks(xs)).otherwise(F.array().cast("array<bigint>")))
-
-
 def found(text: Column, kind: str, pattern: str, hint: str) -> Column:
     """All matches of a pattern as spans: the gaps between them come from splitting at the same pattern."""
     rank = KINDS.index(kind)

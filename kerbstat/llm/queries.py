@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbstat.llm import packing, pii, quality, simhash
+from kerbstat.llm import chat, packing, pii, quality, simhash, url_rules
 from kerbstat.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,17 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, folder, "documents")))
 
 
+RULES = """
+SELECT * FROM VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+  ('net', '/es/', 'block'), ('net', '/fr/', 'block') AS rules(host, path, verdict)
+"""
+
+
+def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """The rule that fits each page, and the verdict."""
+    return url_rules.judge(table(spark, folder, "pages"), spark.sql(RULES))
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer's file is; the only place that knows."""
     import public_tokenizers
@@ -35,6 +46,18 @@ def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+SPOKEN_CONTROL = """
+SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]')
+  AS rows(conv_id, turn, role, text)
+"""
+
+
+def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and one that speaks control strings, formatted and read back."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_conversations(rows.unionByName(spark.sql(SPOKEN_CONTROL))))
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Measurements, failure bits and verdicts of every document."""
     judged = quality.apply_policies(quality.ledger(table(spark, folder, "documents")))
@@ -47,12 +70,39 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
+    "op2_url_filters": op2_url_filters,
     "op4_packing": op4_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_chat_format": op6_chat_format,
     "op8_quality_rules": op8_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_url_filters": r"""
+WITH r(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+  ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT row_number() OVER () AS k, page_id, regexp_extract(rest, '^[^/?#]*') AS raw,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+h AS (SELECT k, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM p),
+m AS (SELECT h.*, r.host || r.path AS rule, r.verdict,
+        row_number() OVER (PARTITION BY k ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) AS n
+      FROM h LEFT JOIN r ON (h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE n = 1
+""",
+    "op6_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL
+  VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
+e AS (SELECT *, regexp_replace(regexp_replace(role, '(<)(\\*)(/?s>)', '\1\\\2\3', 'g'), '(\[)(\\*)(/?INST\])', '\1\\\2\3', 'g') AS er,
+        regexp_replace(regexp_replace(text, '(<)(\\*)(/?s>)', '\1\\\2\3', 'g'), '(\[)(\\*)(/?INST\])', '\1\\\2\3', 'g') AS et FROM t),
+s AS (SELECT conv_id, count(*) AS n_turns,
+        string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+        coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS learned,
+        sum(length(er) + length(et) + 20) AS formatted_chars FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256,
+       CAST(formatted_chars AS BIGINT) AS formatted_chars FROM s
+""",
     "op8_quality_rules": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbstat.llm import pii
+from kerbstat.llm.common import running_ends
 from kerbstat.llm.queries import op1_pii
 from tests.conftest import SMALL
 
@@ -112,7 +113,7 @@ def test_redaction(spark):
 @pytest.mark.parametrize("n", [1, 255, 256, 257, 1000])
 def test_running_ends(spark, n):
     df = spark.createDataFrame([(list(range(n)),)], "xs array<bigint>")
-    got = df.select(pii.running_ends(F.col("xs")).alias("s")).first()["s"]
+    got = df.select(running_ends(F.col("xs")).alias("s")).first()["s"]
     assert got == [i * (i + 1) // 2 for i in range(n)]
 
 
