@@ -32,7 +32,7 @@ from kerbstat.session import stage
 
 SEQUENCE, END_ID = 4096, 2
 #: Pieces in a chunk that is ranked as one group; words whose ids a worker keeps.
-CHUNK, CACHE = 20_000, 400_000
+CHUNK, CACHE = 2_000, 400_000
 
 
 class WordTokenizer:
