@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbstat.llm import chat, packing, pii, quality, simhash, url_rules
+from kerbstat.llm import chat, licenses, packing, pii, quality, simhash, url_rules
 from kerbstat.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,11 @@ def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(spark.sql(SPOKEN_CONTROL))))
 
 
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return licenses.digest(licenses.scan_licenses(table(spark, folder, "documents")))
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Measurements, failure bits and verdicts of every document."""
     judged = quality.apply_policies(quality.ledger(table(spark, folder, "documents")))
@@ -74,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op4_packing": op4_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_chat_format": op6_chat_format,
+    "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,
 }
 
