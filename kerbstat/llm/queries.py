@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbstat.llm import chat, licenses, packing, pii, quality, simhash, url_rules
+from kerbstat.llm import chat, licenses, packing, pii, ppm, quality, simhash, url_rules
 from kerbstat.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,11 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_ppm_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Word baseline and byte model over all documents."""
+    return ppm.score_documents(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_url_filters": op2_url_filters,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op6_chat_format": op6_chat_format,
     "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,
+    "op9_ppm_score": op9_ppm_score,
 }
 
 ORACLES: dict[str, str] = {
