@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbstat.llm import chat, licenses, packing, pii, ppm, quality, simhash, url_rules
+from kerbstat.llm import chat, licenses, packing, piece_fst, pii, ppm, quality, simhash, url_rules
 from kerbstat.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,11 @@ def op9_ppm_score(spark: SparkSession, folder: str) -> DataFrame:
     return ppm.score_documents(table(spark, folder, "documents"))
 
 
+def op10_piece_transducer(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of every document, and whether they decode to the document."""
+    return piece_fst.encode_documents(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_url_filters": op2_url_filters,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_ppm_score": op9_ppm_score,
+    "op10_piece_transducer": op10_piece_transducer,
 }
 
 ORACLES: dict[str, str] = {
