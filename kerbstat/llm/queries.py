@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbstat.llm import chat, licenses, packing, piece_fst, pii, ppm, quality, simhash, url_rules
+from kerbstat.llm import chat, embeddings, licenses, packing, piece_fst, pii, ppm, quality, simhash, url_rules
 from kerbstat.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judge(table(spark, folder, "pages"), spark.sql(RULES))
 
 
+def op3_pq_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.93."""
+    return embeddings.near_vectors(table(spark, folder, "embeddings"), least=0.93)
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer's file is; the only place that knows."""
     import public_tokenizers
@@ -86,6 +91,7 @@ def op10_piece_transducer(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_url_filters": op2_url_filters,
+    "op3_pq_near_dedup": op3_pq_near_dedup,
     "op4_packing": op4_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_chat_format": op6_chat_format,
