@@ -11,8 +11,9 @@ rules that enclose it. Of this stack, the rules that still enclose the key are t
 longest wins, over all suffixes (length of host and path together; of equal ones the longer host).
 
 Pages count once per distinct host and path. A host that many of them share is swept in parts of about
-``PART`` keys, its rules copied to each part; a join on host and path, where Spark splits hot keys, takes
-verdicts back to the pages. Rules are joined, not broadcast by hand.
+``PART`` keys, or as many as the host has rules if those are more, so that the rules copied to each part are
+never more than the keys; a join on host and path, where Spark splits hot keys, takes verdicts back to the
+pages. Rules are joined, not broadcast by hand.
 
 Nulls and edge cases: a null URL, or one without ``://``, has an empty host and path, which no rule fits;
 a null id is kept; repeated pages get a row each; empty tables of pages or rules are fine; rules with a
@@ -30,7 +31,7 @@ from kerbstat.session import stage
 #: Between the reversed host and the path; sorts before every character of either.
 SEPARATOR = "\x00"
 #: Keys of one host that are swept together.
-PART = 100_000
+PART = 1_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -80,12 +81,12 @@ def judge(
         F.sequence(F.lit(1), F.least(F.size(F.split("host", r"\.")), F.lit(labels))),
         lambda n: F.array_join(F.slice(F.reverse(F.split("host", r"\.")), 1, n), "."),
     )
-    hosts = table.groupBy("rhost").agg(F.count("*").alias("_rules")).drop("_rules")
+    hosts = table.groupBy("rhost").agg(F.count("*").alias("rules"))
     exploded = distinct.select("host", "path", F.explode(suffixes).alias("rhost")) if labels else None
     if exploded is None:
         return parsed.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     keys = stage(exploded.join(hosts, "rhost"), "keys")
-    parts = keys.groupBy("rhost").agg(F.ceil(F.count("*") / F.lit(part)).cast("int").alias("parts"))
+    parts = keys.groupBy("rhost").agg(F.ceil(F.count("*") / F.greatest(F.lit(part), F.max("rules"))).cast("int").alias("parts"))
     no_stack = F.lit(None).cast(table.schema["stack"].dataType)
     dealt = keys.join(parts, "rhost").select(
         "rhost", F.pmod(F.xxhash64("host", "path"), "parts").cast("int").alias("part"), "path", "host", no_stack.alias("stack")
