@@ -193,18 +193,29 @@ def near_duplicates(
     ``component_id`` is the smallest id in the component; ``root`` names the component by its
     smallest fingerprint.
     """
+    marked, named = components_of(docs, shingle, max_bits, id_column, text_column)
+    named = named.select("fp", "root", F.col("first.doc_id").alias("component_id"))
+    return marked.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
+
+
+def components_of(
+    docs: DataFrame, shingle: int, max_bits: int, id_column: str = "doc_id", text_column: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """The rows with their fingerprints, and ``(fp, root, first)`` per fingerprint.
+
+    ``first`` is the component's first document, by id with nulls last, then by the hash of its text.
+    Rows are reduced to one per fingerprint before anything is joined.
+    """
     marked = stage(fingerprints(docs, id_column, text_column, shingle), "fingerprints")
-    distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    distinct = stage(marked.groupBy("fp").agg(F.min(order).alias("own")), "distinct")
     roots = components(link_edges(distinct, max_bits))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
+        "fp", "own", F.coalesce("root", "fp").alias("root")
     )
     linked = rooted.join(roots.select("root").distinct(), "root", "left_semi")
-    smallest = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    named = rooted.join(smallest, "root", "left").select(
-        "fp", "root", F.coalesce("least_id", "first_id").alias("component_id")
-    )
-    return marked.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
+    smallest = linked.groupBy("root").agg(F.min("own").alias("least"))
+    return marked, rooted.join(smallest, "root", "left").select("fp", "root", F.coalesce("least", "own").alias("first"))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
@@ -212,11 +223,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -
 
     Of rows with one id and one text, one stays. A component without any id keeps one document.
     """
-    found = near_duplicates(docs, shingle, max_bits)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
-    first = found.groupBy("root").agg(F.min(order).alias("_o")).select(
-        F.col("_o.doc_id").alias("_id"), F.col("_o.text_hash").alias("_hash")
-    )
+    _, named = components_of(docs, shingle, max_bits)
+    first = named.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")).distinct()
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_hash"),
