@@ -131,11 +131,15 @@ kept AS (
 
 PREDICTION = """
 prediction AS (
-  SELECT summons_number, CAST(vc AS INT) AS label, CAST((vc + k % 3) % 50 AS INT) AS prediction,
-         CAST((vc + (k % 3 + 2) % 3) % 50 AS INT) AS second, CAST((vc + (k % 3 + 1) % 3) % 50 AS INT) AS third,
-         CAST(1 + k % 3 AS INT) AS true_rank
+  SELECT summons_number, CAST(vc AS INT) AS label, CAST((vc + k % 7) % 50 AS INT) AS prediction,
+         CAST(1 + k % 7 AS INT) AS true_rank
   FROM citation WHERE violation_code IS NOT NULL AND violation_code <> '99'
 )"""
+NAMED = """
+named AS (
+  SELECT value, row_number() OVER (ORDER BY value) - 1 AS code
+  FROM (SELECT DISTINCT lpad(label::VARCHAR, 2, '0') AS value FROM prediction)
+)"""
 PER_CLASS = """
 classes AS (SELECT DISTINCT unnest([label, prediction]) AS class FROM prediction),
 scores AS (
@@ -241,8 +245,13 @@ ORACLES = {
     ),
     "training_sample": _q(
         f"""SELECT {TRAINING} FROM citation
-  WHERE substr(md5('42:' || summons_number), 1, 8) < '1999999a' AND issue_date >= DATE '1995-01-01'"""
+  WHERE md5('42:' || summons_number) < '1999999999999a000000000000000000' AND issue_date >= DATE '1995-01-01'"""
     ),
+    "training_sample_high": _q(f"SELECT {TRAINING} FROM citation WHERE md5('42:' || summons_number) < 'ffffef39085f48000000000000000000'"),
+    "evaluation_sample": _q(
+        "SELECT summons_number FROM final WHERE md5('43:' || summons_number) < '1999999999999a000000000000000000'", FEATURES, FINAL
+    ),
+    "csv_roundtrip": _q(f"SELECT {SCAN}, latitude, longitude FROM citation"),
     "table_info": _q(
         " UNION ALL ".join(
             f"""SELECT {i} AS ordinal_position, '{name}' AS column_name, '{kind}' AS data_type, '{nullable}' AS is_nullable,
@@ -250,6 +259,9 @@ ORACLES = {
             for i, (name, kind, nullable) in enumerate(TABLE_COLUMNS, start=1)
         )
     ),
+    "table_schema": "SELECT * FROM (VALUES "
+    + ", ".join(f"({i}, '{name}', '{kind}', '{nullable}')" for i, (name, kind, nullable) in enumerate(TABLE_COLUMNS, start=1))
+    + ") AS t(ordinal_position, column_name, data_type, is_nullable)",
     "row_count": _q("SELECT count(*) AS row_count FROM citation"),
     "date_range": _q(
         """SELECT CAST(min(issue_date) AS VARCHAR) AS first_date, CAST(max(issue_date) AS VARCHAR) AS last_date
@@ -262,7 +274,8 @@ ORACLES = {
     "violation_summary": _q(BY_VIOLATION),
     "location_summary": _q(BY_LOCATION),
     "temporal_distribution": _q(
-        f"""SELECT {DOW} AS day_of_week, {STRICT} AS hour_of_day, count(*) AS ticket_count
+        f"""SELECT {DOW} AS day_of_week, {STRICT} AS hour_of_day, count(*) AS ticket_count,
+    CAST(count(*) OVER () AS INT) AS total_slots
   FROM citation WHERE violation_time IS NOT NULL GROUP BY 1, 2"""
     ),
     "fine_distribution": _q(
@@ -283,9 +296,10 @@ ORACLES = {
         f"grouped AS ({BY_LOCATION})",
     ),
     "heatmap_points": _q(
-        f"""SELECT latitude, longitude, violation_code FROM citation
-  WHERE issue_date >= DATE '1995-01-01' AND issue_date < DATE '1997-01-01' AND violation_code = '7' AND {POINT}
-  ORDER BY summons_number LIMIT 1000"""
+        f"""SELECT latitude, longitude, violation_code, CAST(count(*) OVER () AS INT) AS point_count FROM (
+    SELECT * FROM citation
+    WHERE issue_date >= DATE '1995-01-01' AND issue_date < DATE '1997-01-01' AND violation_code = '7' AND {POINT}
+    ORDER BY summons_number LIMIT 1000)"""
     ),
     "class_counts": _q(
         """SELECT violation_code, count(*) AS class_rows FROM citation
@@ -358,10 +372,12 @@ ORACLES = {
     "metric_per_class": _q("SELECT * FROM per_class", PREDICTION, PER_CLASS),
     "metric_averages": _q("SELECT * FROM averages", PREDICTION, PER_CLASS, AVERAGES),
     "confusion_topn": _q(
-        """SELECT label, prediction, count(*) AS pair_rows FROM prediction
+        """SELECT label, prediction, count(*) AS pair_rows, l.value AS label_name, p.value AS prediction_name
+  FROM prediction LEFT JOIN named l ON l.code = label LEFT JOIN named p ON p.code = prediction
   WHERE label IN (SELECT label FROM prediction GROUP BY label ORDER BY count(*) DESC, label LIMIT 20)
-  GROUP BY label, prediction""",
+  GROUP BY ALL""",
         PREDICTION,
+        NAMED,
     ),
     "metric_report": _q(
         """SELECT 'overall' AS section, 'accuracy' AS name,
@@ -369,10 +385,12 @@ ORACLES = {
   UNION ALL SELECT 'overall', 'top_' || k || '_accuracy',
     round(CAST(count(*) FILTER (true_rank <= k) AS DOUBLE) / count(*), 9)
     FROM prediction, (VALUES (3), (5)) AS ks(k) GROUP BY k
-  UNION ALL SELECT 'overall', average || '_f1', f1 FROM averages
-  UNION ALL SELECT 'class ' || class, unnest(['precision', 'recall', 'f1', 'support']),
-    unnest([round(precision, 9), round(recall, 9), round(f1, 9), support::DOUBLE]) FROM per_class""",
+  UNION ALL SELECT 'overall', average || '_' || unnest(['precision', 'recall', 'f1']), unnest([precision, recall, f1]) FROM averages
+  UNION ALL SELECT 'class ' || coalesce(value, class::VARCHAR), unnest(['precision', 'recall', 'f1', 'support']),
+    unnest([round(precision, 9), round(recall, 9), round(f1, 9), support::DOUBLE])
+    FROM per_class LEFT JOIN named ON code = class""",
         PREDICTION,
+        NAMED,
         PER_CLASS,
         AVERAGES,
     ),
@@ -382,15 +400,59 @@ ORACLES = {
     SELECT summons_number, CAST(row_number() OVER (PARTITION BY summons_number ORDER BY probability DESC, code DESC) AS INT) AS rank,
            probability, code
     FROM (
-      SELECT summons_number, code,
-        CASE code WHEN prediction THEN 0.5::DOUBLE WHEN second THEN 0.3::DOUBLE WHEN third THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS probability
-      FROM prediction, (SELECT CAST(unnest(range(50)) AS INT) AS code)
+      SELECT summons_number, label, code, CASE WHEN behind < 7 THEN (64 >> behind) / 128.0::DOUBLE ELSE 0.0::DOUBLE END AS probability
+      FROM (SELECT *, (prediction - code + 50) % 50 AS behind
+            FROM prediction, (SELECT CAST(unnest(range(50)) AS INT) AS code))
+      WHERE label % 10 <> 3 AND (label % 10 <> 4 OR code < 2)
     )
-  ) ranked LEFT JOIN named ON ranked.code = named.code WHERE rank <= 5""",
+  ) ranked LEFT JOIN named ON ranked.code = named.code WHERE rank <= 5
+  UNION ALL SELECT summons_number, NULL, NULL, NULL, NULL FROM prediction WHERE label % 10 = 3""",
         PREDICTION,
-        """named AS (
-  SELECT value, row_number() OVER (ORDER BY value) - 1 AS code
-  FROM (SELECT DISTINCT lpad(label::VARCHAR, 2, '0') AS value FROM prediction)
+        NAMED,
+    ),
+    **{f"view_refresh_{name}": _q(VIEWS[name]) for name in ("precinct_stats", "violation_stats", "monthly_trends")},
+    "train_predict_facts": _q(
+        """SELECT summons_number, split, CAST(label AS INT) AS label, true AS sums_to_one, true AS is_arg_max, true AS one_per_class
+  FROM (SELECT *, CASE WHEN r <= round(n * 0.2) THEN 'test'
+                       WHEN r <= round(n * 0.2) + round((n - round(n * 0.2)) * 0.1) THEN 'validation' ELSE 'train' END AS split
+        FROM ranked) WHERE split <> 'train'""",
+        FEATURES,
+        FINAL,
+        """enough AS (
+  SELECT violation_code, count(*) AS n, row_number() OVER (ORDER BY violation_code) - 1 AS label
+  FROM final GROUP BY violation_code HAVING count(*) >= 10
+),
+ranked AS (
+  SELECT summons_number, n, label,
+    row_number() OVER (PARTITION BY violation_code ORDER BY md5('42|' || summons_number), summons_number) AS r
+  FROM final JOIN enough USING (violation_code)
 )""",
     ),
+    "feature_importance_facts": "SELECT unnest(["
+    + ", ".join(f"'{c.strip()}'" for c in ["hour", *NUMERIC.split(","), *CATEGORICAL])
+    + "]) AS feature, true AS not_negative, true AS sums_to_one",
+    "model_info_facts": _q(
+        "SELECT 'violation_code' AS target, '"
+        + ",".join(c.strip() for c in ["hour", *NUMERIC.split(","), *CATEGORICAL])
+        + "' AS features, count(DISTINCT violation_code) AS num_classes FROM final",
+        FEATURES,
+        FINAL,
+    ),
+    "saved_model_facts": _q(
+        """SELECT 'overall' AS section, unnest(['accuracy', 'top_3_accuracy', 'top_5_accuracy', 'macro_precision', 'macro_recall',
+    'macro_f1', 'weighted_precision', 'weighted_recall', 'weighted_f1']) AS name, NULL::DOUBLE AS support, true AS unchanged
+  UNION ALL SELECT 'class ' || violation_code, unnest(['precision', 'recall', 'f1', 'support']),
+    unnest([NULL, NULL, NULL, count(*)::DOUBLE]), true FROM final GROUP BY violation_code HAVING count(*) >= 10
+  UNION ALL SELECT 'feature', 'any', NULL, true FROM range(15)""",
+        FEATURES,
+        FINAL,
+    ),
+    "score_requests_facts": _q(
+        """SELECT summons_number AS request_id,
+    CASE WHEN m % 20 = 0 OR issue_date IS NULL THEN '2024-01-15 14:30:00'
+         ELSE strftime(issue_date + to_minutes(m), '%Y-%m-%d %H:%M:%S') END AS datetime,
+    coalesce(precinct, 'UNKNOWN') AS precinct, coalesce(county, 'NY') AS county, latitude, longitude,
+    CASE WHEN m % 20 = 0 THEN 'unreadable datetime' END AS error, CASE WHEN m % 20 <> 0 THEN true END AS answered
+  FROM (SELECT *, CAST(split_part(summons_number, '-', 1) AS BIGINT) % 1440 AS m FROM citation)"""
+    ),
 }

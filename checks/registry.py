@@ -6,6 +6,7 @@ Money leaves as double and dates as text, so that any client compares equal valu
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 from uuid import uuid4
 
 import pandas as pd
@@ -15,16 +16,18 @@ from kerbstat.operators import classes, features, metrics, scan, stats, vocabula
 from kerbstat.plans import views
 from kerbstat.plans.model import ClassModel, fit_model
 from kerbstat.plans.scoring import score
-from kerbstat.plans.training import run_evaluation, run_training
+from kerbstat.plans.training import evaluation_frame, run_evaluation, run_training
 from kerbstat.schema import CODE, COLUMN_ROLES, TRAINING_COLUMNS
 from kerbstat.session import stage, work_dir
+from kerbstat.sources import tables
 from kerbstat.sources.tpch import citations_from_tpch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 DATES = {"start": "1995-01-01", "end": "1997-01-01"}
 CLASSES = 50
-TREES = {"numTrees": 20}
+#: What stands in for a request's missing time.
+NOW = datetime(2024, 1, 15, 14, 30)
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -58,30 +61,41 @@ def over_frame(operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def simulated_predictions(citations: DataFrame) -> DataFrame:
-    """``(id, label, prediction, probability)`` by arithmetic: right, next or next but one class.
+    """``(id, label, prediction, probability)`` by arithmetic: the true class has rank 1 to 7, by ``k % 7``.
 
-    The true class is likeliest, second or third by ``k % 3``, without a tie.
+    The class ``s`` behind the prediction has ``(64 >> s) / 128``, for ``s`` from 0 to 6, without a tie.
     """
     n = F.lit(CLASSES)
     rows = citations.where(F.col(CODE).isNotNull() & (F.col(CODE) != "99")).select(
         "summons_number",
         F.col(CODE).cast("int").alias("label"),
-        (F.substring_index("soda_row_id", "-", -1).cast("bigint") % 3).cast("int").alias("_r"),
+        (F.substring_index("soda_row_id", "-", -1).cast("bigint") % 7).cast("int").alias("_r"),
     )
+    rows = rows.withColumn("prediction", ((F.col("label") + F.col("_r")) % n).cast("int"))
 
-    def shifted(by):
-        return ((F.col("label") + by) % n).cast("int")
+    def chance(i):
+        behind = F.pmod(F.col("prediction") - i, n)
+        return F.when(behind < 7, F.call_function("shiftright", F.lit(64), behind) / F.lit(128.0)).otherwise(F.lit(0.0))
 
-    rows = rows.withColumns(
-        {"prediction": shifted(F.col("_r")), "_2": shifted((F.col("_r") + 2) % 3), "_3": shifted((F.col("_r") + 1) % 3)}
-    )
-    probability = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.when(i == F.col("prediction"), 0.5).when(i == F.col("_2"), 0.3).when(i == F.col("_3"), 0.2).otherwise(0.0),
-    )
+    probability = F.transform(F.sequence(F.lit(0), n - 1), chance)
     return rows.select("summons_number", "label", "prediction", probability.alias("probability"))
 
 
+def with_gaps(predictions: DataFrame) -> DataFrame:
+    """Some rows without an array, and some with a shorter one."""
+    gap = F.col("label") % 10
+    return predictions.withColumn(
+        "probability",
+        F.when(gap == 3, F.lit(None)).when(gap == 4, F.slice("probability", 1, 2)).otherwise(F.col("probability")),
+    )
+
+
+def class_names(predictions: DataFrame) -> DataFrame:
+    """``(feature, value, code)``: classes by two-digit names."""
+    named = predictions.select(F.lpad(F.col("label").cast("string"), 2, "0").alias(CODE))
+    return stage(vocabulary.fit_labels(named, CODE), "labels")
+
+
 def over_predictions(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return over_citations(
         lambda df: operator(simulated_predictions(df)), "summons_number", CODE, "soda_row_id"
@@ -117,8 +131,7 @@ def view_refresh(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     store = views.ViewStore(spark, f"{work_dir(spark)}/views-{uuid4().hex}")
     store.create_all(df.limit(0))
-    source = stage(df, "citations")
-    store.refresh_all(source)
+    store.refresh_all(df)
     sizes = None
     for name in views.VIEWS:
         size = store.read(name).agg(F.lit(name).alias("view_name"), F.count("*").alias("view_rows"))
@@ -126,17 +139,28 @@ def view_refresh(df: DataFrame) -> DataFrame:
     return sizes
 
 
+def refreshed(name: str) -> Callable[[DataFrame], DataFrame]:
+    """A view's rows after it was made from an empty table and refreshed from the whole one."""
+
+    def query(df: DataFrame) -> DataFrame:
+        store = views.ViewStore(df.sparkSession, f"{work_dir(df.sparkSession)}/views-{uuid4().hex}")
+        store.create(name, df.limit(0))
+        store.refresh(name, df)
+        return store.read(name)
+
+    return query
+
+
 def encoded_features(frame: DataFrame) -> DataFrame:
+    """Vocabulary from the five columns alone, then codes straight from the source: no copy of the frame."""
     columns = COLUMN_ROLES["categorical"]
-    frame = stage(frame.drop(CODE), "frame")
     codes = stage(vocabulary.fit_vocabulary(frame, columns), "vocabulary")
-    return vocabulary.encode(frame, codes, columns)
+    return vocabulary.encode(frame.drop(CODE), codes, columns)
 
 
 def encoded_target(frame: DataFrame) -> DataFrame:
-    frame = stage(frame.select("summons_number", CODE), "frame")
     labels = stage(vocabulary.fit_labels(frame, CODE), "labels")
-    return vocabulary.encode_target(frame, labels, CODE)
+    return vocabulary.encode_target(frame.select("summons_number", CODE), labels, CODE)
 
 
 def rare_class_filter(df: DataFrame) -> DataFrame:
@@ -148,46 +172,81 @@ def stratified_split(df: DataFrame) -> DataFrame:
 
 
 def topk_classes(df: DataFrame) -> DataFrame:
-    """The five likeliest classes of each row, by name."""
-    labels = stage(
-        vocabulary.fit_labels(df.select(F.lpad(F.col("label").cast("string"), 2, "0").alias(CODE)), CODE), "labels"
-    )
-    ranked = metrics.top_classes(df).select("summons_number", F.posexplode_outer("top").alias("rank", "entry"))
+    """The five likeliest classes of each row, by name; some rows have no array, or a short one."""
+    labels = class_names(df)
+    ranked = metrics.top_classes(with_gaps(df)).select("summons_number", F.posexplode_outer("top").alias("rank", "entry"))
     coded = ranked.select("summons_number", (F.col("rank") + 1).alias("rank"), "entry.*")
     return vocabulary.decode(coded, labels, "code", CODE)
 
 
-def trained(df: DataFrame, **settings):
-    return run_training(df, params=TREES, **settings)
-
-
 def train_predict(df: DataFrame) -> DataFrame:
-    return trained(df).held_out.select(
+    return run_training(df).held_out.select(
         "summons_number", "split", "label", "prediction", F.array_max("probability").alias("confidence")
     )
 
 
+def held_out_facts(df: DataFrame) -> DataFrame:
+    """What is exact about predictions: which rows and labels, and how the columns hang together."""
+    run = run_training(df)
+    total = F.aggregate("probability", F.lit(0.0), lambda a, p: a + p)
+    best = F.array_max("probability")
+    return run.held_out.select(
+        "summons_number", "split", "label",
+        (F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+        (F.element_at("probability", F.col("prediction") + 1) == best).alias("is_arg_max"),
+        (F.size("probability") == len(run.model.labels)).alias("one_per_class"),
+    )
+
+
 def saved_model_report(df: DataFrame) -> DataFrame:
     """The report of a model that was trained, saved and loaded again."""
+    return saved_and_unsaved(df)[0]
+
+
+def saved_and_unsaved(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reports over all rows: of the model as loaded, and as trained."""
     spark = df.sparkSession
     root = f"{work_dir(spark)}/models-{uuid4().hex}"
-    trained(df, output=root)
-    return run_evaluation(df, ClassModel.load_latest(spark, root))[0]
+    run = run_training(df, output=root)
+    loaded = ClassModel.load_latest(spark, root)
+    return run_evaluation(df, loaded, sample=None)[0], run_evaluation(df, run.model, sample=None)[0]
+
+
+def saved_report_facts(df: DataFrame) -> DataFrame:
+    """Lines of the report, support by class name, and whether saving changed any value."""
+    saved, unsaved = saved_and_unsaved(df)
+    both = saved.alias("s").join(unsaved.alias("u"), ["section", "name"], "full")
+    support = F.when(F.col("name") == "support", F.col("s.value"))
+    named = F.when(F.col("section") == "feature", F.lit("any")).otherwise(F.col("name"))
+    return both.select("section", named.alias("name"), support.alias("support"), F.col("s.value").eqNullSafe(F.col("u.value")).alias("unchanged"))
 
 
 def trained_model(df: DataFrame):
-    return fit_model(features.training_frame(features.load_features(df)), params=TREES)
+    return fit_model(features.training_frame(features.load_features(df)))
+
+
+def importance_facts(df: DataFrame) -> DataFrame:
+    """The features, and that their shares are shares."""
+    shares = stage(trained_model(df).importance(), "importance")
+    total = shares.agg(F.sum("importance")).first()[0]
+    return shares.select("feature", (F.col("importance") >= 0).alias("not_negative"), F.lit(abs(total - 1) < 1e-9).alias("sums_to_one"))
+
+
+def model_info_facts(df: DataFrame) -> DataFrame:
+    info = trained_model(df).info()
+    return info.select("target", F.array_join("features", ",").alias("features"), F.col("num_classes").cast("bigint").alias("num_classes"))
 
 
 def requests_of(df: DataFrame) -> DataFrame:
     """One request per citation, at its place and a time on its day."""
-    minutes = F.pmod(F.xxhash64("summons_number"), F.lit(24 * 60)).cast("int")
+    minutes = (F.substring_index("summons_number", "-", 1).cast("bigint") % (24 * 60)).cast("int")
     moment = F.col("issue_date").cast("timestamp") + F.make_dt_interval(mins=minutes)
     return df.select(
         F.col("summons_number").alias("request_id"),
         "latitude",
         "longitude",
-        moment.alias("datetime"),
+        # Every twentieth time or so is no time.
+        F.when(minutes % 20 == 0, F.lit("soon")).otherwise(F.date_format(moment, "yyyy-MM-dd HH:mm:ss")).alias("datetime"),
         "precinct",
         "county",
         "street_name",
@@ -197,14 +256,44 @@ def requests_of(df: DataFrame) -> DataFrame:
 
 
 def score_requests(df: DataFrame) -> DataFrame:
-    scored = score(requests_of(df), trained_model(df))
+    scored = score(requests_of(df), trained_model(df), now=NOW)
     return scored.select(
         "request_id",
         "predicted_violation",
         "confidence",
         F.to_json("top_predictions").alias("top_predictions"),
         F.to_json("input").alias("input"),
+        "error",
+    )
+
+
+def score_facts(df: DataFrame) -> DataFrame:
+    """Per request: what was read, and whether the answer has five different classes in order."""
+    scored = score(requests_of(df), trained_model(df), now=NOW)
+    chances, named = F.col("top_predictions.probability"), F.col(f"top_predictions.{CODE}")
+    ordered = chances == F.sort_array(chances, asc=False)
+    answered = (
+        (F.size(F.array_distinct(named)) == 5) & ordered & (F.get(named, F.lit(0)) == F.col("predicted_violation"))
+        & (F.get(chances, F.lit(0)) == F.col("confidence"))
     )
+    return scored.select(
+        "request_id", F.date_format("input.datetime", "yyyy-MM-dd HH:mm:ss").alias("datetime"), "input.precinct", "input.county",
+        "input.latitude", "input.longitude", "error", answered.alias("answered"),
+    )
+
+
+def evaluation_sample(df: DataFrame) -> DataFrame:
+    """Ids of the rows that an evaluation draws by default."""
+    return evaluation_frame(df).select("summons_number")
+
+
+def csv_roundtrip(df: DataFrame) -> DataFrame:
+    """Written as CSV with the columns in another order, and read by name."""
+    path = f"{work_dir(df.sparkSession)}/csv-{uuid4().hex}"
+    columns = sorted(df.columns, reverse=True)
+    options = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    df.select(columns).write.options(**options).csv(path)
+    return tables.read_citations(df.sparkSession, path, "csv").select(*scan.SCAN_COLUMNS, "latitude", "longitude")
 
 
 TRAIN = [*TRAINING_COLUMNS, "latitude", "longitude"]
@@ -237,7 +326,10 @@ QUERIES: dict[str, Query] = {
         lambda df: scan.training_load(df, **DATES, counties=["NY", "K", "Q"], include_coordinates=True), *TRAIN
     ),
     "training_sample": over_citations(lambda df: scan.training_load(df, sample=0.1, start=DATES["start"]), *TRAIN),
-    "table_info": over_citations(scan.table_info),
+    "training_sample_high": over_citations(lambda df: scan.training_load(df, sample=0.999999), *TRAIN),
+    "csv_roundtrip": over_citations(csv_roundtrip),
+    "table_info": over_citations(lambda df: scan.table_info(df, count_nulls=df.columns)),
+    "table_schema": over_citations(scan.table_info),
     "row_count": over_citations(scan.row_count, "summons_number"),
     "date_range": over_citations(scan.date_range, "issue_date"),
     "adhoc_sql": over_citations(
@@ -292,6 +384,14 @@ QUERIES: dict[str, Query] = {
         "issue_date", "violation_time", CODE, "violation_desc", "issuing_agency", "county", "precinct",
         "street_name", "fine_amount", "latitude", "longitude",
     ),
+    "view_refresh_precinct_stats": over_citations(
+        refreshed("precinct_stats"),
+        "precinct", "county", CODE, "issuing_agency", "issue_date", "fine_amount", "latitude", "longitude",
+    ),
+    "view_refresh_violation_stats": over_citations(
+        refreshed("violation_stats"), CODE, "violation_desc", "precinct", "county", "fine_amount", "issue_date"
+    ),
+    "view_refresh_monthly_trends": over_citations(refreshed("monthly_trends"), "issue_date", "precinct", CODE, "fine_amount"),
     # Features
     "features_temporal": over_training(
         lambda df: features.add_temporal(df).select(
@@ -331,12 +431,19 @@ QUERIES: dict[str, Query] = {
     ),
     "saved_model_report": over_citations(saved_model_report, *TRAIN),
     "score_requests": over_citations(score_requests, *TRAIN),
+    "evaluation_sample": over_citations(evaluation_sample, *TRAIN),
+    # Of the model queries, the part that SQL can state
+    "train_predict_facts": over_citations(held_out_facts, *TRAIN),
+    "feature_importance_facts": over_citations(importance_facts, *TRAIN),
+    "model_info_facts": over_citations(model_info_facts, *TRAIN),
+    "saved_model_facts": over_citations(saved_report_facts, *TRAIN),
+    "score_requests_facts": over_citations(score_facts, *TRAIN),
     # Metrics
     "topk_classes": over_predictions(topk_classes),
     "metric_accuracy": over_predictions(metrics.accuracy),
     "metric_topk": over_predictions(metrics.top_k_accuracy),
     "metric_per_class": over_predictions(metrics.per_class),
     "metric_averages": over_predictions(lambda df: rounded(metrics.averages(df), "precision", "recall", "f1")),
-    "confusion_topn": over_predictions(metrics.confusion_top),
-    "metric_report": over_predictions(lambda df: rounded(metrics.report(df), "value")),
+    "confusion_topn": over_predictions(lambda df: metrics.confusion_top(df, names=class_names(df))),
+    "metric_report": over_predictions(lambda df: rounded(metrics.report(df, names=class_names(df)), "value")),
 }

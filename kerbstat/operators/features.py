@@ -107,9 +107,10 @@ def load_features(
     end: str | None = None,
     sample: float | None = None,
     include_coordinates: bool = False,
+    seed: int = 42,
 ) -> DataFrame:
     """Training load and all feature steps."""
-    rows = training_load(df, start, end, sample=sample, include_coordinates=include_coordinates)
+    rows = training_load(df, start, end, sample=sample, include_coordinates=include_coordinates, seed=seed)
     return build_features(rows, include_coordinates)
 
 

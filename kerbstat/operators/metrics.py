@@ -7,11 +7,10 @@ Averages of per-class scores are summed in fixed point, so they do not depend on
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kerbstat.operators.classes import most_frequent
+from kerbstat.operators.vocabulary import decode
 from kerbstat.session import stage
 
 SCORE = "decimal(20,15)"
@@ -33,23 +32,28 @@ def true_rank(label: str = "label", probability: str = "probability") -> Column:
 def top_classes(df: DataFrame, k: int = 5, probability: str = "probability") -> DataFrame:
     """Add ``top``: the ``k`` likeliest classes as (probability, code), likeliest first.
 
-    Among equals the higher number comes first. Whole Arrow batches are ordered at once, since
-    sorting structs, or a lambda per class, costs about twenty times as much.
+    Among equals the higher number comes first. A row without an array has no list, one with a
+    shorter array a shorter list; null entries do not count. Built-in functions only: a sorted copy
+    gives the ``k`` largest values, and each is looked up from the end, once for each time it occurs.
     """
-
-    @F.arrow_udf("array<struct<probability:double,code:int>>")
-    def best(scores: pa.Array) -> pa.Array:
-        rows = len(scores)
-        matrix = scores.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1 if rows else 1)
-        n = min(k, matrix.shape[1])
-        codes = np.argsort(matrix, axis=1, kind="stable")[:, ::-1][:, :n]
-        entries = pa.StructArray.from_arrays(
-            [pa.array(np.take_along_axis(matrix, codes, axis=1).ravel()), pa.array(codes.ravel().astype(np.int32))],
-            names=["probability", "code"],
+    scores = F.col(probability)
+    found = df.withColumn("_largest", F.slice(F.sort_array(F.array_compact(scores), asc=False), 1, k))
+    found = found.withColumn("_backwards", F.reverse(scores))
+    for i in range(k):
+        # Behind the place of an equal value found before; that value itself is one entry to the left.
+        value, before = F.get("_largest", F.lit(i)), F.get("_largest", F.lit(i - 1)) if i else F.lit(None).cast("double")
+        past = F.when(value == before, F.col(f"_at_{i - 1}")).otherwise(F.lit(0)) if i else F.lit(0)
+        place = past + F.array_position(F.slice("_backwards", past + 1, F.size("_backwards")), value)
+        found = found.withColumn(f"_at_{i}", place.cast("int"))
+    entries = [
+        F.when(
+            F.col(f"_at_{i}").isNotNull(),
+            F.struct(F.get("_largest", F.lit(i)).alias("probability"), (F.size("_backwards") - F.col(f"_at_{i}")).alias("code")),
         )
-        return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * n), entries)
-
-    return df.withColumn("top", best(F.col(probability)))
+        for i in range(k)
+    ]
+    top = F.when(scores.isNotNull(), F.array_compact(F.array(*entries)))
+    return found.withColumn("top", top).select(*df.columns, "top")
 
 
 def confusion_counts(df: DataFrame) -> DataFrame:
@@ -148,15 +152,21 @@ def averages_of(classes: DataFrame) -> DataFrame:
     return means.select(F.inline(F.array(*rows)))
 
 
-def confusion_top(df: DataFrame, n: int = 20) -> DataFrame:
+def confusion_top(df: DataFrame, n: int = 20, names: DataFrame | None = None) -> DataFrame:
     """Counts per pair, for the ``n`` most frequent true classes.
 
-    Predictions outside those classes keep their own pairs.
+    Predictions outside those classes keep their own pairs. With ``names``, a table of ``value`` and
+    ``code``, the classes are named too, in ``label_name`` and ``prediction_name``.
     """
     pairs = stage(confusion_counts(df), "pairs")
     totals = pairs.groupBy("label").agg(F.sum("pair_rows").alias("class_rows"))
     largest = totals.orderBy(F.desc("class_rows"), "label").limit(n).select("label")
-    return pairs.join(largest, "label", "left_semi")
+    top = pairs.join(largest, "label", "left_semi")
+    if names is None:
+        return top
+    for c in ("label", "prediction"):
+        top = decode(top, names, c, f"{c}_name")
+    return top
 
 
 def in_most_frequent(df: DataFrame, label: str, n: int) -> DataFrame:
@@ -164,13 +174,23 @@ def in_most_frequent(df: DataFrame, label: str, n: int) -> DataFrame:
     return df.join(stage(most_frequent(df, label, n), "classes"), label, "left_semi")
 
 
-def report(df: DataFrame, importance: DataFrame | None = None, ks: tuple[int, ...] = TOP_K, features: int = 15) -> DataFrame:
+def report(
+    df: DataFrame,
+    importance: DataFrame | None = None,
+    ks: tuple[int, ...] = TOP_K,
+    features: int = 15,
+    names: DataFrame | None = None,
+) -> DataFrame:
     """``(section, name, value)``: overall scores, per-class scores and the leading features.
 
-    The predictions are read once. A top-k score beyond the number of classes is null.
+    The predictions are read once. A top-k score beyond the number of classes is null. Classes go by
+    the names in ``names``, a table of ``value`` and ``code``; without it, or without an entry, by number.
     """
     pairs = stage(_hit_counts(df, ks), "pairs")
-    classes = per_class_of(pairs)
+    classes = per_class_of(pairs).withColumn("shown", F.col("class").cast("string"))
+    if names is not None:
+        named = decode(classes.drop("shown"), names, "class", "_name")
+        classes = named.withColumn("shown", F.coalesce("_name", F.col("class").cast("string")))
     totals = pairs.agg(
         *_total_hits(ks), F.sum(F.when(F.col("label") == F.col("prediction"), F.col("pair_rows"))).alias("hits")
     )
@@ -189,11 +209,14 @@ def report(df: DataFrame, importance: DataFrame | None = None, ks: tuple[int, ..
     ]
     parts = [
         lines(totals, (overall, F.lit("accuracy"), F.coalesce(F.col("hits"), F.lit(0)) / F.col("pair_rows")), *top_k),
-        lines(averages_of(classes), (overall, F.concat(F.col("average"), F.lit("_f1")), F.col("f1"))),
+        lines(
+            averages_of(classes),
+            *[(overall, F.concat(F.col("average"), F.lit(f"_{s}")), F.col(s)) for s in ("precision", "recall", "f1")],
+        ),
         lines(
             classes,
             *[
-                (F.concat(F.lit("class "), F.col("class").cast("string")), F.lit(s), F.col(s))
+                (F.concat(F.lit("class "), F.col("shown")), F.lit(s), F.col(s))
                 for s in ("precision", "recall", "f1", "support")
             ],
         ),

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import islice
+from fractions import Fraction
 from typing import Any
 from uuid import uuid4
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kerbstat.schema import CITATION_SCHEMA, DATE, ID, POINT, SCAN_COLUMNS, TRAINING_COLUMNS
@@ -77,9 +78,10 @@ def in_dates(df: DataFrame, start: str | None = None, end: str | None = None) ->
 def bernoulli(df: DataFrame, fraction: float | None, seed: int = 42) -> DataFrame:
     """Keep each row with the given chance; 0 and None keep the whole table.
 
-    The draw is a hash of the seed and the row's id: the same rows come back however the
-    table is partitioned and whenever a task is run again, and the sample does not depend on
-    filters before or after it.
+    The draw is a hash of the seed and the row's id, all 128 bits of it, against the fraction
+    as exactly as a double states it: the same rows come back however the table is partitioned
+    and whenever a task is run again, and the sample does not depend on filters before or after
+    it. Samples of different seeds are independent.
     """
     if not fraction:
         return df
@@ -87,9 +89,8 @@ def bernoulli(df: DataFrame, fraction: float | None, seed: int = 42) -> DataFram
         raise ValueError("fraction must lie between 0 and 1")
     if fraction == 1:
         return df
-    ceiling = f"{round(fraction * 16**8):08x}"
-    draw = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(ID))), 1, 8)
-    return df.where(draw < ceiling)
+    ceiling = f"{int(Fraction(fraction) * 16**32):032x}"
+    return df.where(F.md5(F.concat(F.lit(f"{seed}:"), F.col(ID))) < ceiling)
 
 
 def training_load(
@@ -122,14 +123,23 @@ def date_range(df: DataFrame) -> DataFrame:
     return df.agg(F.min(DATE).alias("first_date"), F.max(DATE).alias("last_date"))
 
 
-def table_info(df: DataFrame) -> DataFrame:
-    """Name, type and nullability of each column, in order.
+def table_info(df: DataFrame, count_nulls: list[str] | None = None) -> DataFrame:
+    """Name, type and nullability of each column, in order, from the schema alone.
 
-    Spark does not enforce a declared NOT NULL, so the nulls that are there are counted too,
-    all columns in one pass.
+    Spark does not enforce a declared NOT NULL. ``count_nulls`` names columns whose nulls are
+    counted as well, in ``null_rows``, which costs one scan of those columns.
     """
     declared = {f.name: f.nullable for f in CITATION_SCHEMA}
-    counts = df.agg(*[F.count_if(F.col(f.name).isNull()).alias(f.name) for f in df.schema])
+    if count_nulls is None:
+        rows = [
+            (position, f.name, f.dataType.simpleString(), "YES" if declared.get(f.name, f.nullable) else "NO")
+            for position, f in enumerate(df.schema, start=1)
+        ]
+        columns = "ordinal_position int, column_name string, data_type string, is_nullable string"
+        return df.sparkSession.createDataFrame(rows, columns)
+    counts = df.agg(
+        *[(F.count_if(F.col(f.name).isNull()) if f.name in count_nulls else F.lit(None).cast("bigint")).alias(f.name) for f in df.schema]
+    )
     facts = [
         F.struct(
             F.lit(position).alias("ordinal_position"),
@@ -176,7 +186,27 @@ def map_chunks(
 
 
 def iter_chunks(df: DataFrame, chunk_size: int = 50_000) -> Iterator[pd.DataFrame]:
-    """Chunks of ``chunk_size`` rows for a consumer on the driver, one partition at a time."""
-    rows = df.toLocalIterator()
-    while chunk := list(islice(rows, chunk_size)):
-        yield pd.DataFrame(chunk, columns=df.columns)
+    """Chunks of ``chunk_size`` rows for a consumer on the driver, one partition at a time.
+
+    Executors cut the rows into Arrow batches, so that the driver unpacks a batch, not a row, at a time.
+    """
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as writer:
+                writer.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch"])
+
+    held, size = [], 0
+    for row in df.mapInArrow(packed, "batch binary").toLocalIterator():
+        table = pa.ipc.open_stream(row["batch"]).read_all()
+        while size + len(table) >= chunk_size:
+            cut = chunk_size - size
+            yield pa.concat_tables([*held, table.slice(0, cut)]).to_pandas(date_as_object=True)
+            held, size, table = [], 0, table.slice(cut)
+        if len(table):
+            held.append(table)
+            size += len(table)
+    if size:
+        yield pa.concat_tables(held).to_pandas(date_as_object=True)

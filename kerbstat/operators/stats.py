@@ -50,18 +50,23 @@ def location_summary(df: DataFrame) -> DataFrame:
 
 
 def temporal_distribution(df: DataFrame) -> DataFrame:
-    """Citations by day of the week (Sunday 0) and strict hour, where a time is given."""
+    """Citations by day of the week (Sunday 0) and strict hour, where a time is given, and the number of slots."""
     slots = df.where(F.col("violation_time").isNotNull()).select(
         dow_from_sunday(F.col(DATE)).alias("day_of_week"),
         strict_hour(F.col("violation_time")).alias("hour_of_day"),
     )
-    return (
-        slots.groupBy("day_of_week", "hour_of_day")
-        .agg(F.count("*").alias("ticket_count"))
-        .orderBy(F.col("day_of_week").asc_nulls_last(), F.col("hour_of_day").asc_nulls_last())
+    counts = slots.groupBy("day_of_week", "hour_of_day").agg(F.count("*").alias("ticket_count"))
+    return with_total(counts, "total_slots").orderBy(
+        F.col("day_of_week").asc_nulls_last(), F.col("hour_of_day").asc_nulls_last()
     )
 
 
+def with_total(rows: DataFrame, total: str) -> DataFrame:
+    """Add the number of rows of a small result, staged so that it is computed once."""
+    rows = stage(rows, "rows")
+    return rows.withColumn(total, F.lit(rows.count()))
+
+
 def fine_distribution(df: DataFrame) -> DataFrame:
     """Smallest, average, largest and exact median fine of each violation."""
     fines = exact_median(df.where(F.col(FINE).isNotNull()), VIOLATION, FINE)
@@ -97,11 +102,11 @@ def heatmap_points(
     violation_code: str | None = None,
     limit: int | None = 1000,
 ) -> DataFrame:
-    """Points of citations in a date range, optionally of one violation; first ones by id."""
+    """Points of citations in a date range, optionally of one violation; first ones by id, and their number."""
     rows = in_dates(df, start, end)
     if violation_code:
         rows = rows.where(F.col(CODE) == violation_code)
-    return scan_points(rows, [CODE], limit=limit).select("latitude", "longitude", CODE)
+    return with_total(scan_points(rows, [CODE], limit=limit).select("latitude", "longitude", CODE), "point_count")
 
 
 def class_counts(df: DataFrame, label: str = CODE) -> DataFrame:

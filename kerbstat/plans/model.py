@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from typing import Any
+from uuid import uuid4
 
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
@@ -16,7 +17,7 @@ from kerbstat.operators.features import feature_columns
 from kerbstat.operators.metrics import top_classes
 from kerbstat.operators.vocabulary import encode, encode_target, fit_labels, fit_vocabulary
 from kerbstat.schema import CODE, ID
-from kerbstat.session import spread, stage
+from kerbstat.session import stage
 
 # One training contract for both learners: 200 trees of depth 8, at least five rows in a leaf,
 # four fifths of the rows and of the features for each tree.
@@ -33,7 +34,9 @@ LEARNERS = {
     "forest": {**TREES, "numTrees": 200},
     "boosted": {**TREES, "maxIter": 200, "stepSize": 0.1},
 }
-MAX_CLASSES = 10_000
+#: Partitions that a fit is spread over. Bags are drawn per partition, so the model depends on
+#: this number; it does not depend on cores, or on how the table's files were split.
+FIT_PARTITIONS = 16
 
 
 @dataclass
@@ -125,15 +128,19 @@ class ClassModel:
         )
 
     def save(self, root: str, version: str | None = None) -> str:
-        """Save under ``root`` and return the folder; the facts come last and mark it whole."""
-        version = version or f"{datetime.now(timezone.utc):%Y%m%d_%H%M%S}"
+        """Save under ``root`` and return the folder; the facts come last and mark it whole.
+
+        A version is named by time, to the microsecond, and a random part; one that exists is refused.
+        """
+        version = version or f"{datetime.now(timezone.utc):%Y%m%d_%H%M%S_%f}_{uuid4().hex[:8]}"
         path = f"{root.rstrip('/')}/{version}"
-        self.pipeline.write().overwrite().save(f"{path}/pipeline")
-        self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+        # The first write claims the folder: it fails if the version is there already.
+        self.vocabulary.write.mode("error").parquet(f"{path}/vocabulary")
+        self.pipeline.write().save(f"{path}/pipeline")
         facts = self.vocabulary.sparkSession.createDataFrame(
             [(self.target, self.numeric, self.categorical, self.labels)], FACTS
         )
-        facts.coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
+        facts.coalesce(1).write.mode("error").parquet(f"{path}/facts")
         return path
 
     @classmethod
@@ -166,27 +173,30 @@ def fit_model(
     learner: str = "forest",
     params: dict[str, Any] | None = None,
     exclude: tuple[str, ...] = (),
+    seed: int = 42,
+    partitions: int = FIT_PARTITIONS,
 ) -> ClassModel:
     """Fit vocabularies and a model on a training frame.
 
-    ``params`` override the learner's settings; ``exclude`` leaves features out.
+    ``params`` override the learner's settings; ``exclude`` leaves features out. The rows are dealt
+    by id to ``partitions`` partitions and ordered by id in each, so that one seed and one number of
+    partitions give one model; for large tables choose several times the cluster's cores.
     """
     numeric, categorical = (
         [c for c in columns if c not in exclude] for columns in feature_columns(train.columns, target)
     )
     vocabulary = stage(fit_vocabulary(train, categorical), "vocabulary")
     labels = stage(fit_labels(train, target), "labels")
-    if labels.count() > MAX_CLASSES:
-        raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
     names = [row["value"] for row in labels.orderBy("code").collect()]
     encoded = encode_target(encode(train, vocabulary, categorical), labels, target)
-    matrix = spread(stage(encoded.select(*numeric, *categorical, "label"), "matrix"))
+    columns = [ID, *numeric, *categorical, "label"]
+    matrix = stage(encoded.select(columns), "matrix").repartition(partitions, ID).sortWithinPartitions(*columns).drop(ID)
 
     # The number of classes travels with the label, so the learner does not look for it.
     classes = {"ml_attr": {"type": "nominal", "num_vals": len(names)}}
     labelled = matrix.withColumn("label", F.col("label").cast("double").alias("label", metadata=classes))
     assembler = VectorAssembler(inputCols=[*numeric, *categorical], outputCol="features")
-    pipeline = Pipeline(stages=[assembler, _learner(learner, params or {})]).fit(labelled)
+    pipeline = Pipeline(stages=[assembler, _learner(learner, {"seed": seed, **(params or {})})]).fit(labelled)
     return ClassModel(pipeline, vocabulary, names, numeric, categorical, target)
 
 

@@ -11,10 +11,12 @@ from kerbstat.operators.classes import frequent_classes, rare_class_rows, strati
 from kerbstat.operators.features import load_features, training_frame
 from kerbstat.operators.metrics import report
 from kerbstat.operators.vocabulary import unseen_targets
-from kerbstat.plans.model import ClassModel, fit_model, predictions
+from kerbstat.plans.model import FIT_PARTITIONS, ClassModel, fit_model, predictions
 from kerbstat.schema import CODE
 from kerbstat.session import stage
 
+EVALUATION_SEED = 43
+
 
 @dataclass
 class TrainingRun:
@@ -27,6 +29,10 @@ class TrainingRun:
     held_out: DataFrame
     path: str | None
 
+    def report(self) -> DataFrame:
+        """The metric report on the held-out rows, none of which the model was fitted on."""
+        return report(self.held_out, self.model.importance(), names=self.model.label_frame())
+
 
 def run_training(
     citations: DataFrame,
@@ -40,16 +46,21 @@ def run_training(
     exclude: tuple[str, ...] = (),
     least_rows: int = 10,
     output: str | None = None,
+    seed: int = 42,
+    partitions: int = FIT_PARTITIONS,
 ) -> TrainingRun:
     """Load, derive features, drop rare classes, split, fit, score the held-out parts, save.
 
     ``held_out`` has the predictions of the test and validation rows, ``scores`` their accuracy.
+    ``seed`` is that of the sample, the split and the learner. Split rows and predictions are staged,
+    so that the split is computed, and the held-out rows are scored, once.
     """
-    features = load_features(citations, start, end, sample, include_coordinates)
+    features = load_features(citations, start, end, sample, include_coordinates, seed)
     frame = stage(training_frame(features, target), "frame")
-    parts = stratified_split(frequent_classes(frame, target, least_rows), target)
-    model = fit_model(parts.where(F.col("split") == "train").drop("split"), target, learner, params, exclude)
-    held_out = predictions(model, parts.where(F.col("split") != "train"))
+    parts = stage(stratified_split(frequent_classes(frame, target, least_rows), target, seed=seed), "parts")
+    train = parts.where(F.col("split") == "train").drop("split")
+    model = fit_model(train, target, learner, params, exclude, seed, partitions)
+    held_out = stage(predictions(model, parts.where(F.col("split") != "train")), "predictions")
     scores = held_out.groupBy("split").agg(
         F.count("*").alias("rows"),
         (F.count_if(F.col("label") == F.col("prediction")) / F.count("*")).alias("accuracy"),
@@ -64,8 +75,19 @@ def run_training(
     )
 
 
-def run_evaluation(citations: DataFrame, model: ClassModel, sample: float | None = 0.1) -> tuple[DataFrame, DataFrame]:
-    """The metric report of a model on a sample, and the classes it does not know."""
-    frame = training_frame(load_features(citations, sample=sample), model.target)
-    lines = report(predictions(model, frame), model.importance())
+def evaluation_frame(citations: DataFrame, target: str = CODE, sample: float | None = 0.1, seed: int = EVALUATION_SEED) -> DataFrame:
+    """The rows of an evaluation: a sample that is independent of a training job's."""
+    return training_frame(load_features(citations, sample=sample, seed=seed), target)
+
+
+def run_evaluation(
+    citations: DataFrame, model: ClassModel, sample: float | None = 0.1, seed: int = EVALUATION_SEED
+) -> tuple[DataFrame, DataFrame]:
+    """The metric report of a model on a sample, and the classes it does not know.
+
+    The sample is independent of that of :func:`run_training`, whose seed is another, but may hold
+    rows the model was fitted on; ``TrainingRun.report`` has the held-out rows alone.
+    """
+    frame = evaluation_frame(citations, model.target, sample, seed)
+    lines = report(predictions(model, frame), model.importance(), names=model.label_frame())
     return lines, unseen_targets(frame, model.label_frame(), model.target)

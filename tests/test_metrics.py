@@ -47,6 +47,20 @@ def test_top_classes_asks_for_more_than_there_are(frame):
     assert metrics.top_classes(frame.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("batch", ["1", "3", "10000"])
+def test_top_classes_with_gaps(spark, conf, batch):
+    conf("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    arrays = [[0.1, 0.9], None, [0.5], [], [None, 0.3, 0.3], [0.2, 0.2, 0.2, 0.2], None, [0.0, 1.0]]
+    frame = spark.createDataFrame(list(enumerate(arrays)), "i int, probability array<double>").repartition(2)
+    got = {r["i"]: r["top"] for r in metrics.top_classes(frame, 3).collect()}
+    for i, p in enumerate(arrays):
+        if p is None:
+            assert got[i] is None
+            continue
+        order = sorted((c for c in range(len(p)) if p[c] is not None), key=lambda c: (p[c], c), reverse=True)[:3]
+        assert [(t["probability"], t["code"]) for t in got[i]] == [(p[c], c) for c in order]
+
+
 def test_top_k(frame, rows):
     got = {r["k"]: r["accuracy"] for r in metrics.top_k_accuracy(frame, (1, 3, 5, 7)).collect()}
     want = {k: sum(l in ranking(p)[:k] for l, _, p in rows) / len(rows) for k in (1, 3, 5)}
@@ -97,3 +111,9 @@ def test_report(frame, spark):
     features = [n for s, n in lines if s == "feature"]
     assert len(features) == 15 and "f19" in features and "f4" not in features
     assert lines["class 0", "support"] == frame.where("label = 0").count()
+    names = spark.createDataFrame([("zero", 0), ("one", 1)], "value string, code int")
+    named = {(r["section"], r["name"]): r["value"] for r in metrics.report(frame, names=names).collect()}
+    assert named["class zero", "support"] == lines["class 0", "support"] and ("class 2", "recall") in named
+    assert named["overall", "macro_precision"] == lines["overall", "macro_precision"]
+    pairs = metrics.confusion_top(frame, 1, names).collect()
+    assert {r["label_name"] for r in pairs} == {"zero"} and {r["prediction_name"] for r in pairs} >= {"zero", None}

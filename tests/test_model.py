@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kerbstat.operators.features import load_features, training_frame
 from kerbstat.plans.model import ClassModel, fit_model, predictions
 from kerbstat.plans.scoring import REQUEST_DEFAULTS, score
-from kerbstat.plans.training import run_evaluation, run_training
+from kerbstat.plans.training import evaluation_frame, run_evaluation, run_training
 from kerbstat.schema import COLUMN_ROLES
 from kerbstat.session import work_dir
 
@@ -59,6 +59,35 @@ def test_save_load_latest(spark, run, root):
     assert back.importance().collect() == run.model.importance().collect()
 
 
+def test_a_version_is_written_once(run, root):
+    assert run.model.save(root) != run.model.save(root)
+    run.model.save(root, "20000102_000000")
+    with pytest.raises(Exception, match="(?i)exist"):
+        run.model.save(root, "20000102_000000")
+
+
+def test_training_and_evaluation_samples_are_independent(citations):
+    train = load_features(citations, sample=0.3).select("summons_number")
+    evaluated = evaluation_frame(citations, sample=0.3).select("summons_number")
+    n, both = evaluated.count(), evaluated.join(train, "summons_number", "left_semi").count()
+    assert both / n == pytest.approx(0.3, abs=0.06)
+
+
+def test_report_of_held_out_rows(run):
+    lines = {(r["section"], r["name"]): r["value"] for r in run.report().collect()}
+    sizes = {r["split"]: r["rows"] for r in run.split_sizes.collect()}
+    support = sum(v for (s, n), v in lines.items() if n == "support")
+    assert support == sizes["test"] + sizes["validation"]
+    assert {s for s, _ in lines if s.startswith("class ")} == {f"class {name}" for name in run.model.labels}
+
+
+def test_fit_does_not_depend_on_how_the_input_is_split(citations):
+    frame = training_frame(load_features(citations))
+    models = [fit_model(f, params=SMALL_FOREST) for f in (frame.coalesce(1), frame.repartition(7), frame.orderBy("county" if "county" in frame.columns else "hour"))]
+    answers = [sorted((r["summons_number"], r["prediction"]) for r in predictions(m, frame).collect()) for m in models]
+    assert answers[0] == answers[1] == answers[2]
+
+
 def test_evaluation(run, citations):
     lines, unseen = run_evaluation(citations, run.model, sample=0.5)
     values = {(r["section"], r["name"]): r["value"] for r in lines.collect()}
@@ -106,9 +135,23 @@ def test_score(spark, run):
     assert out["b"]["input"]["precinct"] == "UNKNOWN" and out["b"]["input"]["datetime"] is not None
 
 
+def test_unreadable_requests_keep_their_rows(spark, run):
+    requests = spark.createDataFrame(
+        [("a", "2024-01-15 14:30:00", "40.7"), ("b", "soon", "40.7"), ("c", None, "north"), ("d", None, None)],
+        "request_id string, datetime string, latitude string",
+    )
+    now = datetime(2024, 1, 15, 9, 0)
+    out = {r["request_id"]: r for r in score(requests, run.model, now=now).collect()}
+    assert len(out) == 4
+    assert out["a"]["error"] is None and out["a"]["predicted_violation"] in run.model.labels
+    assert out["b"]["error"] == "unreadable datetime" and out["b"]["predicted_violation"] is None
+    assert out["c"]["error"] == "unreadable latitude" and out["c"]["top_predictions"] is None
+    assert out["d"]["input"]["datetime"] == now and out["d"]["error"] is None
+
+
 def test_request_hour_is_that_of_its_time(spark):
-    from kerbstat.plans.scoring import request_features
+    from kerbstat.plans.scoring import complete, request_features
 
     requests = spark.createDataFrame([(datetime(2024, 1, 15, 14, 30),), (datetime(2024, 1, 13, 0, 5),)], "datetime timestamp")
-    rows = request_features(requests).select("hour", "time_of_day", "is_weekend").collect()
+    rows = request_features(complete(requests)).select("hour", "time_of_day", "is_weekend").collect()
     assert [tuple(r) for r in rows] == [(14, "afternoon", 0), (0, "night", 1)]

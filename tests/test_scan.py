@@ -7,7 +7,7 @@ from kerbstat.operators import scan
 from kerbstat.schema import ALL_COLUMNS, CITATION_SCHEMA, ID, SCAN_COLUMNS, TRAINING_COLUMNS
 from kerbstat.session import stage, work_dir
 from kerbstat.sources.relational import jdbc_options
-from kerbstat.sources.tables import conform, read_citations
+from kerbstat.sources.tables import conform, read_citations, read_raw, unreadable_cells
 
 
 def test_column_lists():
@@ -34,6 +34,28 @@ def test_file_formats(spark, citations, format):
     assert back.select(columns).collect() == sample.orderBy(ID).select(columns).collect()
 
 
+@pytest.mark.parametrize("format", ["csv", "json"])
+def test_text_formats_go_by_name_and_count_what_is_lost(spark, citations, format):
+    path = f"{work_dir(spark)}/shuffled-{format}-{id(citations)}"
+    texts = citations.orderBy(ID).limit(20).select([F.col(c).cast("string") for c in reversed(citations.columns)])
+    first = texts.orderBy(ID).first()[ID]
+    bad = texts.withColumns(
+        {
+            "issue_date": F.when(F.col(ID) == first, "someday").otherwise(F.col("issue_date")),
+            "fine_amount": F.when(F.col(ID) == first, "1.239").otherwise(F.col("fine_amount")),
+        }
+    )
+    writer = bad.write.mode("overwrite")
+    (writer.option("header", "true") if format == "csv" else writer).format(format).save(path)
+    back = {r[ID]: r for r in read_citations(spark, path, format).collect()}
+    for r in citations.orderBy(ID).limit(20).collect():
+        if r[ID] != first:
+            assert back[r[ID]]["issue_date"] == r["issue_date"] and back[r[ID]]["violation_code"] == r["violation_code"]
+    assert back[first]["issue_date"] is None and str(back[first]["fine_amount"]) == "1.24"
+    lost = {r["column_name"]: tuple(r)[1:] for r in unreadable_cells(read_raw(spark, path, format)).collect()}
+    assert lost["issue_date"] == (1, 0) and lost["fine_amount"] == (0, 1) and lost["latitude"] == (0, 0)
+
+
 def test_filters_and_columns_reach_the_files(spark, conf, citations):
     conf("spark.sql.maxMetadataStringLength", "10000")
     path = f"{work_dir(spark)}/pushed-{id(citations)}"
@@ -62,6 +84,21 @@ def test_limit_is_ordered_and_zero_means_all(citations):
     assert scan.scan(citations, [ID], limit=0).count() == len(everything)
 
 
+def test_every_fraction_below_one_is_honoured(citations):
+    n = citations.count()
+    assert n - scan.bernoulli(citations, 0.9999999999).count() <= 1
+    assert n - scan.bernoulli(citations, 1 - 2**-53).count() <= 1
+    assert scan.bernoulli(citations, 2**-40).count() <= 1
+    assert scan.bernoulli(citations, 0.5).count() == pytest.approx(n / 2, rel=0.1)
+
+
+def test_table_info_reads_no_rows_by_default(citations):
+    plan = scan.table_info(citations)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and scan.table_info(citations).count() == 21
+    some = {r["column_name"]: r["null_rows"] for r in scan.table_info(citations, ["county"]).collect()}
+    assert some["county"] == citations.where("county is null").count() and some["precinct"] is None
+
+
 def test_sample_is_repeatable_and_commutes_with_filters(citations):
     ids = {r[0] for r in scan.bernoulli(citations, 0.2).select(ID).collect()}
     again = {r[0] for r in scan.bernoulli(citations.repartition(7), 0.2).select(ID).collect()}
