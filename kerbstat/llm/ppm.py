@@ -40,7 +40,7 @@ from kerbstat.session import stage
 
 FOLDS, HELD_OUT_FOLD = 7, 2
 #: Most frequent words, and grams, that a task holds; bytes of such a word; bytes of text handled at once.
-KNOWN, LONGEST, SLICE = 65_536, 32, 4 << 20
+KNOWN, LONGEST, SLICE = 65_536, 32, 1 << 20
 #: Stands before and behind a text; no UTF-8 text holds this byte.
 END = 0xFF
 _BUCKETS = 1024
