@@ -39,7 +39,7 @@ from kerbstat.llm.common import slices
 
 MARK = "▁"
 #: Words, and tests of neighbours, that a worker keeps; bytes of text handled at once.
-CACHE, TESTS, SLICE = 400_000, 1_000_000, 4 << 20
+CACHE, TESTS, SLICE = 400_000, 300_000, 4 << 20
 
 
 class PieceTransducer:
