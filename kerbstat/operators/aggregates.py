@@ -1,7 +1,7 @@
 """Aggregations that stay balanced when one group holds much of the table.
 
-Rows are first reduced to counts per group *and* value, with map-side combining, and spread
-over the shuffle by both. Only those counts meet per group afterwards.
+Each task first reduces its rows to counts per group *and* value, one set of counts per value
+column, and the shuffle spreads them by both. Only those counts meet per group afterwards.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def group_with_values(
     sums, lows, highs = sums or {}, lows or {}, highs or {}
     values = list(dict.fromkeys([*distinct.values(), *([mode[1]] if mode else [])]))
     merged = {ROWS: F.count("*"), **sums, **lows, **highs}
-    counts = df.groupBy(*keys, *values).agg(*[agg.alias(name) for name, agg in merged.items()])
+    partial = [agg.alias(name) for name, agg in merged.items()]
 
     def merge(only: Column | None) -> list[Column]:
         def pick(name: str) -> Column:
@@ -53,13 +53,13 @@ def group_with_values(
         )
 
     if len(values) == 1:
-        per_value, of = counts, {values[0]: F.lit(True)}
+        per_value, of = df.groupBy(*keys, values[0]).agg(*partial), {values[0]: F.lit(True)}
         whole = merge(None)
     else:
-        # One copy of the reduced counts per value column, each then grouped by that column alone.
-        per_value = counts.groupingSets(
+        # One set of counts per value column, reduced in the tasks before the one full shuffle.
+        per_value = df.groupingSets(
             [[F.col(c) for c in [*keys, v]] for v in values], *keys, *values
-        ).agg(*merge(None), F.grouping_id().alias(SET))
+        ).agg(*partial, F.grouping_id().alias(SET))
         # grouping_id has one bit per column, set where the column is left out of the set.
         marks = {
             v: sum(1 << (len(values) - 1 - j) for j in range(len(values)) if j != i)

@@ -8,7 +8,8 @@ from kerbstat.operators.stats import class_counts
 from kerbstat.schema import CODE, ID
 from kerbstat.session import stage
 
-ROWS_TO_RANK = 1_000_000
+#: Leading hex digits of the draw that rows are counted by: 65,536 counts per class at most.
+BUCKET_DIGITS = 4
 
 
 def frequent_classes(df: DataFrame, label: str = CODE, least: int = 10) -> DataFrame:
@@ -33,14 +34,6 @@ def most_frequent(df: DataFrame, label: str, n: int) -> DataFrame:
     return counts.orderBy(F.desc("class_rows"), label).limit(n).select(label)
 
 
-def leading_digits(rows: int) -> int:
-    """Hex digits that leave at most ``ROWS_TO_RANK`` rows to each, were all rows one class."""
-    digits = 1
-    while rows > ROWS_TO_RANK * 16**digits:
-        digits += 1
-    return digits
-
-
 def stratified_split(
     df: DataFrame,
     label: str = CODE,
@@ -58,13 +51,13 @@ def stratified_split(
     digits are ranked. The rows themselves are then compared with the cuts of their class,
     without a shuffle.
 
-    The table is read four times (once for its size only), so it should be staged.
+    The table is read three times, so it should be staged. Two buckets per class are ranked, each about
+    one of 16 to the power of ``BUCKET_DIGITS`` of the class's rows.
     """
-    digits = leading_digits(df.count())
     draw = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key)))
     drawn = df.select(F.col(label).alias("_label"), F.struct(draw.alias("h"), F.col(key).alias("k")).alias("_draw"))
     bucketed = drawn.where(F.col("_label").isNotNull()).withColumn(
-        "_bucket", F.substring("_draw.h", 1, digits)
+        "_bucket", F.substring("_draw.h", 1, BUCKET_DIGITS)
     )
 
     label_group = Window.partitionBy("_label")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, Window
 
 from kerbstat.schema import UNKNOWN
+from kerbstat.session import stage
 
 
 def fit_vocabulary(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -28,9 +29,19 @@ def fit_labels(df: DataFrame, target: str) -> DataFrame:
 
 
 def _number(values: DataFrame) -> DataFrame:
-    """Number distinct values by order within their column; only distinct values are sorted."""
-    order = Window.partitionBy("feature").orderBy("value")
-    return values.select("feature", "value", (F.row_number().over(order) - 1).alias("code"))
+    """Number distinct values by order within their column.
+
+    The values are dealt out by range and numbered within each range; what comes before a range is
+    added from the ranges' counts. A column with very many values is thus no group of its own.
+    """
+    ranged = values.select("feature", "value").repartitionByRange("feature", "value")
+    placed = stage(ranged.withColumn("_part", F.spark_partition_id()), "values")
+    before = Window.partitionBy("feature").orderBy("_part")
+    counts = placed.groupBy("feature", "_part").agg(F.count("*").alias("_n"))
+    firsts = counts.select("feature", "_part", (F.sum("_n").over(before) - F.col("_n")).alias("_first"))
+    within = Window.partitionBy("feature", "_part").orderBy("value")
+    numbered = placed.withColumn("_rank", F.row_number().over(within) - 1).join(firsts, ["feature", "_part"])
+    return numbered.select("feature", "value", (F.col("_first") + F.col("_rank")).cast("int").alias("code"))
 
 
 def encode(df: DataFrame, vocabulary: DataFrame, columns: list[str]) -> DataFrame:

@@ -16,6 +16,7 @@ from kerbstat.functions.text import non_blank
 from kerbstat.operators.aggregates import ROWS, additive, group_with_values, money_mean
 from kerbstat.operators.scan import with_point
 from kerbstat.schema import CODE, DATE, FINE
+from kerbstat.session import remove
 
 COORDINATE = "decimal(18,6)"
 FINE_SUM, FINE_COUNT = f"_{FINE}_sum", f"_{FINE}_count"
@@ -203,25 +204,39 @@ class ViewStore:
 
     A version is a parquet folder. It becomes current when its entry, one row in one file, is
     written after it, so a reader sees a whole version or the one before, and a job that dies
-    half-way leaves the current version as it was. Readers of an older version keep it.
+    half-way leaves the current version as it was. The newest ``keep`` versions stay, for readers
+    that began before a refresh; older ones, and their entries, are removed by the next refresh.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, keep: int = 3):
+        if keep < 1:
+            raise ValueError("at least the current version has to be kept")
         self.spark = spark
         self.root = root.rstrip("/")
+        self.keep = keep
 
-    def _current(self, name: str) -> str | None:
+    def _versions(self, name: str) -> list[str]:
+        """Versions with an entry, newest first; a folder that cannot be read is an error."""
         try:
-            entries = self.spark.read.parquet(f"{self.root}/{name}/entries/*")
-        except AnalysisException:
-            return None
-        return entries.agg(F.max("version")).first()[0]
+            entries = self.spark.read.schema("version string").parquet(f"{self.root}/{name}/entries/*")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+        return sorted((r["version"] for r in entries.collect()), reverse=True)
+
+    def _current(self, name: str) -> str | None:
+        return next(iter(self._versions(name)), None)
 
     def _write(self, name: str, citations: DataFrame) -> None:
         version = f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid4().hex[:8]}"
         VIEWS[name].rows(citations).write.parquet(f"{self.root}/{name}/data/{version}")
         entry = self.spark.createDataFrame([(version,)], "version string")
         entry.coalesce(1).write.parquet(f"{self.root}/{name}/entries/{version}")
+        for old in self._versions(name)[self.keep :]:
+            # The entry goes first: a version without one is never read.
+            remove(self.spark, f"{self.root}/{name}/entries/{old}")
+            remove(self.spark, f"{self.root}/{name}/data/{old}")
 
     def create(self, name: str, citations: DataFrame) -> None:
         """Compute and store a view, unless it is there already."""

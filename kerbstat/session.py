@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from urllib.parse import urlparse
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,17 +38,55 @@ def work_dir(spark: SparkSession) -> str:
     """The shared folder for staged tables: ``spark.checkpoint.dir``, where the job names one.
 
     A local session without the setting gets a temporary folder. A cluster session without it
-    is refused, since executors on other machines could not read a local folder.
+    is refused, since executors on other machines could not read a local folder; so is one whose
+    folder is a path of the local file system, unless ``spark.kerbstat.workDirIsShared`` is true,
+    which says that this path is a mount that all machines share.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+    local = context.master.startswith("local")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not local:
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="kerbstat-"))
-    return context.getCheckpointDir()
+        folder = context.getCheckpointDir()
+    declared = spark.conf.get("spark.kerbstat.workDirIsShared", "false") == "true"
+    if not reachable(folder, local or declared, spark.conf.get("spark.hadoop.fs.defaultFS", "file:///")):
+        raise ValueError(f"{folder} lies on one machine; name a shared folder in spark.checkpoint.dir")
+    return folder.rstrip("/")
+
+
+def reachable(folder: str, local_is_shared: bool, default_fs: str = "file:///") -> bool:
+    """Whether every executor can reach a folder; one without a scheme is in the default file system."""
+    scheme = urlparse(folder).scheme or urlparse(default_fs).scheme
+    return local_is_shared or scheme not in ("", "file")
+
+
+_STAGED: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """A job: what :func:`stage` writes inside is removed at the end.
+
+    Frames that a job returns may still read staged tables. Write or collect them inside; without a
+    surrounding ``staging`` the folders stay until the work folder is cleared.
+    """
+    folders: list[str] = []
+    token = _STAGED.set(folders)
+    try:
+        yield
+    finally:
+        _STAGED.reset(token)
+        for folder in folders:
+            remove(spark, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever file system it is in."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -53,10 +95,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     The read-back survives lost executors, is not recomputed by later passes, and carries its
     measured size: Catalyst broadcasts it in a join only below
     ``spark.sql.autoBroadcastJoinThreshold`` and otherwise sorts and merges, where adaptive
-    execution splits hot keys.
+    execution splits hot keys. Inside :func:`staging` the folder goes when the job ends.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{label}-{uuid4().hex}"
+    folders = _STAGED.get()
+    if folders is not None:
+        folders.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -99,5 +99,15 @@ def test_orders(citations):
 
 def test_heatmap_filters(citations):
     points = stats.heatmap_points(citations, "1995-01-01", "1996-01-01", "3", limit=7)
-    assert points.columns == ["latitude", "longitude", "violation_code"]
+    assert points.columns == ["latitude", "longitude", "violation_code", "point_count"]
+    assert {r["point_count"] for r in points.collect()} == {points.count()}
     assert points.count() == 7 and points.where("violation_code <> '3'").count() == 0
+
+
+def test_rows_are_shuffled_once(spark, citations, conf):
+    """One exchange between the rows and the counts, one of the counts by group."""
+    from kerbstat.plans.views import location_risk_scores
+
+    conf("spark.sql.adaptive.enabled", "false")
+    plan = location_risk_scores(citations)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2

@@ -86,14 +86,21 @@ def test_most_frequent_breaks_ties_by_class(spark):
     assert [r[0] for r in classes.most_frequent(df, "label", 2).collect()] == [1, 3]
 
 
-def test_digits_grow_with_the_table():
-    assert [classes.leading_digits(n) for n in (0, 16_000_000, 16_000_001, 10**12)] == [1, 1, 2, 5]
-
-
-def test_split_with_many_digits(skewed, monkeypatch):
-    want = classes.stratified_split(skewed)
-    monkeypatch.setattr(classes, "ROWS_TO_RANK", 1)
-    assert classes.stratified_split(skewed).exceptAll(want).count() == 0
+def test_split_does_not_depend_on_the_bucket_depth(skewed, monkeypatch):
+    want = classes.stratified_split(skewed).collect()
+    monkeypatch.setattr(classes, "BUCKET_DIGITS", 1)
+    assert sorted(map(tuple, classes.stratified_split(skewed).collect()), key=str) == sorted(map(tuple, want), key=str)
+
+
+def test_numbers_run_on_across_ranges(spark, conf):
+    conf("spark.sql.adaptive.enabled", "false")
+    conf("spark.sql.shuffle.partitions", "5")
+    values = [f"{i:04d}" for i in range(300)]
+    df = spark.createDataFrame([(v, "x") for v in values * 2], "t string, u string")
+    codes = {r["value"]: r["code"] for r in vocabulary.fit_labels(df, "t").collect()}
+    assert codes == {v: i for i, v in enumerate(values)}
+    both = {(r["feature"], r["value"]): r["code"] for r in vocabulary.fit_vocabulary(df, ["t", "u"]).collect()}
+    assert both["t", "0299"] == 299 and both["t", "UNKNOWN"] == 300 and both["u", "UNKNOWN"] == 0 and both["u", "x"] == 1
 
 
 def test_tiny_classes_and_rows_without_a_class(spark):

@@ -44,6 +44,23 @@ def test_unfinished_version_is_not_read(spark, store, citations):
     assert store.read("violation_stats").count() == rows
 
 
+def test_old_versions_are_removed(spark, store, citations):
+    few = citations.limit(10)
+    for _ in range(store.keep + 2):
+        store.refresh("monthly_trends", few)
+    assert len(store._versions("monthly_trends")) == store.keep
+    data = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{store.root}/monthly_trends/data")
+    folders = {r["path"].split("/data/")[1].split("/")[0] for r in data.select("path").collect()}
+    assert folders == set(store._versions("monthly_trends"))
+
+
+def test_an_unreadable_store_is_an_error(spark, store, citations):
+    store.create("monthly_trends", citations.limit(10))
+    broken = ViewStore(spark, "nosuchscheme://somewhere/views")
+    with pytest.raises(Exception, match="(?i)scheme"):
+        broken.create("monthly_trends", citations)
+
+
 def test_missing_view(store):
     with pytest.raises(LookupError):
         store.read("street_stats")
