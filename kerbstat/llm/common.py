@@ -62,6 +62,17 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def bounded_sample(df: DataFrame, column: str, rows: int, total: int) -> DataFrame:
+    """The rows of a table of ``total`` rows whose column hashes lowest, ``rows`` at most, in that order.
+
+    A bound on the hash takes about as many rows from every task, so that no task sorts more than it has
+    to and few reach the one that cuts the sample to size.
+    """
+    low = F.shiftrightunsigned(F.xxhash64(column), 2)
+    bound = min(1.0, 1.1 * rows / max(1, total))
+    return df.select(column).where(low <= F.lit(int(bound * (2**62 - 1)))).orderBy(low, column).limit(rows)
+
+
 def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Union the classes of ``a[i]`` and ``b[i]``; a class is named by its smallest member."""
     while True:

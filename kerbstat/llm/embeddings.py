@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kerbstat.llm.common import components, merge_labels, star_edges
+from kerbstat.llm.common import bounded_sample, components, merge_labels, star_edges
 from kerbstat.session import stage
 
 #: Sampled entries, entries aimed at per list of a label, subspaces, codewords, rounds of k-means.
@@ -141,7 +141,7 @@ def near_vectors(
     distinct = marked.where("vec is not null").groupBy("label", "vec").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id"))
     distinct = stage(distinct.withColumn("node", F.monotonically_increasing_id()).withColumn("size", F.length("vec") / 8), "distinct")
     facts = distinct.agg(F.count("*").alias("n"), F.count_distinct("label", "size").alias("groups")).first()
-    sampled = distinct.select("vec").orderBy(F.xxhash64("vec")).limit(SAMPLE).toPandas()["vec"]
+    sampled = bounded_sample(distinct, "vec", SAMPLE, facts["n"]).toPandas()["vec"]
     lists = min(-(-facts["n"] // (list_size * max(1, facts["groups"]))), max(1, len(sampled) // 32))
     quantisers = {
         int(size): Quantiser.fit(unit(stacked(sampled[sampled.map(len) == 8 * size])), lists) for size in sorted({len(v) // 8 for v in sampled})

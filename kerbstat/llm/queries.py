@@ -113,6 +113,18 @@ m AS (SELECT h.*, r.host || r.path AS rule, r.verdict,
         row_number() OVER (PARTITION BY k ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) AS n
       FROM h LEFT JOIN r ON (h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.path))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE n = 1
+""",
+    "op3_pq_near_dedup": r"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS k, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE label IS NOT NULL AND len(e) > 0
+  AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.k AS a, b.k AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.k <> b.k
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+r(a, b) AS (SELECT k, k FROM v UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT r.a AS k, min(w.vec_id) AS component_id FROM r JOIN v w ON w.k = r.b GROUP BY r.a),
+n AS (SELECT a AS k, count(*) AS n_links FROM p GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM v JOIN c USING (k) LEFT JOIN n USING (k)
 """,
     "op6_chat_format": r"""
 WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL
@@ -126,6 +138,41 @@ s AS (SELECT conv_id, count(*) AS n_turns,
         sum(length(er) + length(et) + 20) AS formatted_chars FROM e GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256,
        CAST(formatted_chars AS BIGINT) AS formatted_chars FROM s
+""",
+    "op7_license_scan": r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+s AS (SELECT *, ' ' || array_to_string(ws, ' ') || ' ' AS t FROM d),
+b AS (SELECT k, i - 1 AS i, CASE WHEN ws[i : i + 1] = ['mit', 'license'] THEN 'mit'
+    WHEN ws[i : i + 1] = ['apache', 'license'] THEN 'apache'
+    WHEN ws[i : i + 2] = ['general', 'public', 'license'] THEN 'gpl' END AS label
+  FROM d, unnest(range(1, len(ws) + 1)) AS r(i)),
+n AS (SELECT k, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base
+  FROM b WHERE label IS NOT NULL GROUP BY k),
+m AS (SELECT k, list_filter([
+    CASE WHEN regexp_matches(t, ' licensed under the apache license (version )?2 0 | apache license version 2 0 january 2004 ')
+      THEN 'apache-2.0' END,
+    CASE WHEN regexp_matches(t, ' redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met | (released|licensed) under (the terms of )?the ((new|modified) )?([23] )?(clause )?bsd ([23] )?(clause )?license ')
+      THEN 'bsd' END,
+    CASE WHEN regexp_matches(t, ' licensed under ((a|the) )?creative commons attribution ([^ ]+ ){0,2}([234] )?([05] )?((international|unported|generic) )?license ')
+      THEN 'cc-by' END,
+    CASE WHEN regexp_matches(t, ' licensed under the (terms of the )?gnu general public license (as published by the free software foundation )?(either )?version 2 ')
+      THEN 'gpl-2.0' END,
+    CASE WHEN regexp_matches(t, ' licensed under the (terms of the )?gnu general public license (as published by the free software foundation )?(either )?version 3 | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license ')
+      THEN 'gpl-3.0' END,
+    CASE WHEN regexp_matches(t, ' permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies ')
+      THEN 'isc' END,
+    CASE WHEN regexp_matches(t, ' (released|licensed|distributed|available) under (the terms of )?the mit license | permission is hereby granted free of charge to any person obtaining a copy of this ([^ ]+ ){1,6}(and associated documentation files )?(the ([^ ]+ ){1,3})?to deal in the ([^ ]+ ){1,3}without restriction ')
+      THEN 'mit' END,
+    CASE WHEN regexp_matches(t, ' subject to the terms of the mozilla public license ((v|version) )?2 0 ') THEN 'mpl-2.0' END,
+    CASE WHEN regexp_matches(t, ' all rights reserved ([^ ]+ ){0,12}(unauthorized|unauthorised) (copying|use|reproduction) ([^ ]+ ){0,12}prohibited ')
+      THEN 'proprietary' END], lambda x: x IS NOT NULL) AS found FROM s)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), found))), ',') AS labels,
+  CASE WHEN len(found) > 0 THEN 1.0 WHEN n_base > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM d JOIN m USING (k) LEFT JOIN n USING (k)
 """,
     "op8_quality_rules": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from kerbstat.llm.common import components, merge_labels, star_edges
+from kerbstat.llm.common import bounded_sample, components, merge_labels, star_edges
 from kerbstat.session import stage
 
 #: Rows of the bounded sample that the tree is fitted on, rows aimed at per shard, rows of a block.
@@ -135,7 +135,7 @@ def link_edges(distinct: DataFrame, max_bits: int, shard_rows: int = SHARD, bloc
     hash, is bounded; so is the tree, and with it the table of shard sizes that comes to the driver.
     """
     total = distinct.count()
-    picked = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"]
+    picked = bounded_sample(distinct, "fp", SAMPLE, total).toPandas()["fp"]
     sample = picked.to_numpy(dtype=np.int64).view(np.uint64)
     depth = max(0, min(math.ceil(math.log2(max(1, total / shard_rows))), int(math.log2(max(1, len(sample) / 16)))))
     tree = VantageTree(sample, depth)
