@@ -11,7 +11,8 @@ characters by the model's rules gives just these two pieces, infinity if not. A
 encoding exactly if all its neighbours pass that test: merges inside a stretch do not depend on what stands
 outside as long as none crosses its border, so the first crossing merge of the whole would also be one of
 the two neighbours alone. Every prefix has one such row, so each place of the lattice has one state with a
-finite weight, and the path is found in one sweep.
+finite weight. All finite paths weigh nothing: the first one to reach the end is the shortest. It is searched
+depth first, long pieces first, and a place without a way on is not entered again.
 
 No piece holds a word mark behind another character (this is checked), so paths through different words
 are independent, and a text's path is that of its words in order. Tasks find the path of each distinct word
@@ -39,7 +40,7 @@ from kerbstat.llm.common import slices
 
 MARK = "▁"
 #: Words, and tests of neighbours, that a worker keeps; bytes of text handled at once.
-CACHE, TESTS, SLICE = 400_000, 300_000, 4 << 20
+CACHE, TESTS, SLICE = 400_000, 1_000_000, 4 << 20
 
 
 class PieceTransducer:
@@ -67,12 +68,16 @@ class PieceTransducer:
         self.weight = {name: -model.get_score(i) for name, i in self.ids.items()}
         self.unknown = max(self.weight.values()) + 10.0
         self.longest = max(map(len, self.ids))
+        self.reach: dict[str, int] = {}  # length of the longest piece that begins with three characters
+        for name in self.ids:
+            self.reach[name[:3]] = max(self.reach.get(name[:3], 2), len(name))
         texts = [b"" if special else bytes([int(name[3:5], 16)]) if byte else name.replace(MARK, " ").encode() for name, (special, byte) in zip(names, kinds, strict=True)]
         self.is_byte = np.array([byte for _, byte in kinds])
         self.text_sizes = np.array([len(t) for t in texts], dtype=np.int64)
         self.text_begins = np.cumsum(self.text_sizes) - self.text_sizes
         self.text = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        self.tests: dict[tuple[str, str], bool] = {}
+        self.arcs: dict[str, dict[str, bool]] = {}  # state -> piece -> whether its arc is open
+        self.tested = 0
         self.forget()
 
     def forget(self) -> None:
@@ -92,16 +97,48 @@ class PieceTransducer:
 
     def neighbours(self, left: str, right: str) -> bool:
         """Whether the arc of ``right`` has a finite weight in the state of ``left`` ('' at the start)."""
-        key = (left, right)
-        passed = self.tests.get(key)
-        if passed is None:
-            if len(self.tests) > TESTS:
-                self.tests = {}
-            passed = self.tests[key] = self.merged(left + right) == ([left, right] if left else [right])
-        return passed
+        self.tested += 1
+        return self.merged(left + right) == ([left, right] if left else [right])
 
     def path(self, word: str) -> list[int]:
         """Ids along the shortest path through the lattice of one word, its mark included."""
+        pieces = self.unweighted(word) if self.bpe else self.weighted(word)
+        ids = [self.ids.get(piece, -1) for piece in pieces]
+        if -1 not in ids:
+            return ids
+        return [k for piece, i in zip(pieces, ids, strict=True) for k in ([i] if i >= 0 else [self.byte_ids[b] for b in piece.encode()])]
+
+    def unweighted(self, word: str) -> list[str]:
+        """The pieces of the path whose arcs all weigh nothing."""
+        if self.tested > TESTS:
+            self.arcs, self.tested = {}, 0
+        n, ids, reach, arcs = len(word), self.ids, self.reach, self.arcs
+        i, left, end = 0, "", min(n, reach.get(word[:3], 2))
+        before: list[tuple[int, str, int]] = []  # places passed: where, in which state, what to try next
+        closed: set[int] = set()
+        while i < n:
+            open_arcs = arcs.get(left)
+            if open_arcs is None:
+                open_arcs = arcs[left] = {}
+            while end > i:
+                if end not in closed:
+                    piece = word[i:end]
+                    passed = open_arcs.get(piece)
+                    if passed is None and (piece in ids or end == i + 1):
+                        passed = open_arcs[piece] = self.neighbours(left, piece)
+                    if passed:
+                        break
+                end -= 1
+            if end == i:
+                closed.add(i)
+                i, left, end = before.pop()
+                continue
+            before.append((i, left, end - 1))
+            i, left, end = end, piece, min(n, end + reach.get(word[end : end + 3], 2))
+        return [left for _, left, _ in before[1:]] + [left] * (n > 0)
+
+    def weighted(self, word: str) -> list[str]:
+        """The pieces of the path with the smallest sum of weights."""
         n = len(word)
         state, back, cost = [""] * (n + 1), [0] * (n + 1), [0.0] * (n + 1)
         for i in range(1, n + 1):
@@ -111,23 +148,15 @@ class PieceTransducer:
                 known = piece in self.ids
                 if not known and j < i - 1:
                     continue
-                if self.bpe:
-                    if self.neighbours(state[j], piece):
-                        state[i], back[i] = piece, j
-                        break
-                else:
-                    total = cost[j] + (self.weight[piece] if known else self.unknown)
-                    if best is None or total < best:
-                        best = cost[i] = total
-                        state[i], back[i] = piece, j
-        ids: list[int] = []
-        at = n
+                total = cost[j] + (self.weight[piece] if known else self.unknown)
+                if best is None or total < best:
+                    best = cost[i] = total
+                    state[i], back[i] = piece, j
+        pieces, at = [], n
         while at:
-            piece = state[at]
-            own = self.ids.get(piece)
-            ids += [own] if own is not None else [self.byte_ids[b] for b in reversed(piece.encode())]
+            pieces.append(state[at])
             at = back[at]
-        return ids[::-1]
+        return pieces[::-1]
 
     def words(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Distinct words with their marks, the word at each place, and where each text's places begin."""
