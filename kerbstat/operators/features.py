@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from kerbstat.functions import clock, place
 from kerbstat.functions.text import flag, has_word, strip, upper_strip
 from kerbstat.operators.scan import training_load
-from kerbstat.schema import CODE, COLUMN_ROLES, DATE, FINE, ID, UNKNOWN
+from kerbstat.schema import CODE, COLUMN_ROLES, DATE, FINE, UNKNOWN
 
 DEFAULT_HOUR = 12
 
@@ -126,4 +126,4 @@ def feature_columns(available: list[str], target: str = CODE) -> tuple[list[str]
 def training_frame(df: DataFrame, target: str = CODE) -> DataFrame:
     """Id, features and target of a feature frame."""
     numeric, categorical = feature_columns(df.columns, target)
-    return df.select(ID, *numeric, *categorical, target)
+    return df.select(*COLUMN_ROLES["id_columns"], *numeric, *categorical, target)

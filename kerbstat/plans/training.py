@@ -12,7 +12,7 @@ from kerbstat.operators.features import load_features, training_frame
 from kerbstat.operators.metrics import report
 from kerbstat.operators.vocabulary import unseen_targets
 from kerbstat.plans.model import FIT_PARTITIONS, ClassModel, fit_model, predictions
-from kerbstat.schema import CODE
+from kerbstat.schema import CODE, COLUMN_ROLES
 from kerbstat.session import stage
 
 EVALUATION_SEED = 43
@@ -55,6 +55,8 @@ def run_training(
     ``seed`` is that of the sample, the split and the learner. Split rows and predictions are staged,
     so that the split is computed, and the held-out rows are scored, once.
     """
+    if target not in COLUMN_ROLES["target_candidates"]:
+        raise ValueError(f"{target} is no target; choose one of {', '.join(COLUMN_ROLES['target_candidates'])}")
     features = load_features(citations, start, end, sample, include_coordinates, seed)
     frame = stage(training_frame(features, target), "frame")
     parts = stage(stratified_split(frequent_classes(frame, target, least_rows), target, seed=seed), "parts")

@@ -10,6 +10,7 @@ CODE = "violation_code"
 FINE = "fine_amount"
 UNKNOWN = "UNKNOWN"
 
+# The columns of the citation table, in order.
 CITATION_SCHEMA = T.StructType(
     [
         T.StructField("summons_number", T.StringType(), False),

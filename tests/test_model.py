@@ -42,6 +42,14 @@ def test_training(run, citations):
     assert min(r["accuracy"] for r in run.scores.collect()) > majority
 
 
+def test_every_feature_column_has_a_role(citations):
+    roles = [c for role in ("numeric", "categorical", "id_columns", "drop_columns") for c in COLUMN_ROLES[role]]
+    assert len(roles) == len(set(roles))
+    assert set(load_features(citations).columns) - set(roles) == {"violation_code"}
+    with pytest.raises(ValueError, match="no target"):
+        run_training(citations, target="hour")
+
+
 def test_features_and_importance(run):
     assert run.model.features == [*COLUMN_ROLES["numeric"], *COLUMN_ROLES["categorical"]]
     shares = [r["importance"] for r in run.model.importance().collect()]
