@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import cached_property
 from uuid import uuid4
 
 import pandas as pd
@@ -16,7 +17,7 @@ from kerbstat.operators import classes, features, metrics, scan, stats, vocabula
 from kerbstat.plans import views
 from kerbstat.plans.model import ClassModel, fit_model
 from kerbstat.plans.scoring import score
-from kerbstat.plans.training import evaluation_frame, run_evaluation, run_training
+from kerbstat.plans.training import TrainingRun, evaluation_frame, run_evaluation, run_training
 from kerbstat.schema import CODE, COLUMN_ROLES, TRAINING_COLUMNS
 from kerbstat.session import stage, work_dir
 from kerbstat.sources import tables
@@ -48,6 +49,41 @@ def over_citations(operator: Callable[[DataFrame], DataFrame], *columns: str) ->
     return lambda spark, path: plain(operator(citations_from_tpch(spark, path, columns or None)))
 
 
+class Fits:
+    """The training job and the model of a folder, fitted at their full size when first asked for.
+
+    Queries of a model share it within a session, as scoring and evaluation share a saved one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark = spark
+        self.citations = citations_from_tpch(spark, path, TRAIN)
+        self.root = f"{work_dir(spark)}/models-{uuid4().hex}"
+
+    @cached_property
+    def run(self) -> TrainingRun:
+        return run_training(self.citations, output=self.root)
+
+    @cached_property
+    def model(self) -> ClassModel:
+        return fit_model(features.training_frame(features.load_features(self.citations)))
+
+
+_FITS: dict[tuple[str, str], Fits] = {}
+
+
+def over_fits(operator: Callable[[Fits], DataFrame]) -> Query:
+    """A query over the training job, or the model, of a folder."""
+
+    def query(spark: SparkSession, path: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, path)
+        if key not in _FITS:
+            _FITS[key] = Fits(spark, path)
+        return plain(operator(_FITS[key]))
+
+    return query
+
+
 def over_training(operator: Callable[[DataFrame], DataFrame], coordinates: bool = False) -> Query:
     columns = [*TRAINING_COLUMNS, "latitude", "longitude"]
     return over_citations(
@@ -179,15 +215,15 @@ def topk_classes(df: DataFrame) -> DataFrame:
     return vocabulary.decode(coded, labels, "code", CODE)
 
 
-def train_predict(df: DataFrame) -> DataFrame:
-    return run_training(df).held_out.select(
+def train_predict(fits: Fits) -> DataFrame:
+    return fits.run.held_out.select(
         "summons_number", "split", "label", "prediction", F.array_max("probability").alias("confidence")
     )
 
 
-def held_out_facts(df: DataFrame) -> DataFrame:
+def held_out_facts(fits: Fits) -> DataFrame:
     """What is exact about predictions: which rows and labels, and how the columns hang together."""
-    run = run_training(df)
+    run = fits.run
     total = F.aggregate("probability", F.lit(0.0), lambda a, p: a + p)
     best = F.array_max("probability")
     return run.held_out.select(
@@ -198,42 +234,35 @@ def held_out_facts(df: DataFrame) -> DataFrame:
     )
 
 
-def saved_model_report(df: DataFrame) -> DataFrame:
+def saved_model_report(fits: Fits) -> DataFrame:
     """The report of a model that was trained, saved and loaded again."""
-    return saved_and_unsaved(df)[0]
+    return run_evaluation(fits.citations, saved_model(fits), sample=None)[0]
 
 
-def saved_and_unsaved(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Reports over all rows: of the model as loaded, and as trained."""
-    spark = df.sparkSession
-    root = f"{work_dir(spark)}/models-{uuid4().hex}"
-    run = run_training(df, output=root)
-    loaded = ClassModel.load_latest(spark, root)
-    return run_evaluation(df, loaded, sample=None)[0], run_evaluation(df, run.model, sample=None)[0]
+def saved_model(fits: Fits) -> ClassModel:
+    assert fits.run.path
+    return ClassModel.load_latest(fits.spark, fits.root)
 
 
-def saved_report_facts(df: DataFrame) -> DataFrame:
+def saved_report_facts(fits: Fits) -> DataFrame:
     """Lines of the report, support by class name, and whether saving changed any value."""
-    saved, unsaved = saved_and_unsaved(df)
+    saved = saved_model_report(fits)
+    unsaved = run_evaluation(fits.citations, fits.run.model, sample=None)[0]
     both = saved.alias("s").join(unsaved.alias("u"), ["section", "name"], "full")
     support = F.when(F.col("name") == "support", F.col("s.value"))
     named = F.when(F.col("section") == "feature", F.lit("any")).otherwise(F.col("name"))
     return both.select("section", named.alias("name"), support.alias("support"), F.col("s.value").eqNullSafe(F.col("u.value")).alias("unchanged"))
 
 
-def trained_model(df: DataFrame):
-    return fit_model(features.training_frame(features.load_features(df)))
-
-
-def importance_facts(df: DataFrame) -> DataFrame:
+def importance_facts(fits: Fits) -> DataFrame:
     """The features, and that their shares are shares."""
-    shares = stage(trained_model(df).importance(), "importance")
+    shares = stage(fits.model.importance(), "importance")
     total = shares.agg(F.sum("importance")).first()[0]
     return shares.select("feature", (F.col("importance") >= 0).alias("not_negative"), F.lit(abs(total - 1) < 1e-9).alias("sums_to_one"))
 
 
-def model_info_facts(df: DataFrame) -> DataFrame:
-    info = trained_model(df).info()
+def model_info_facts(fits: Fits) -> DataFrame:
+    info = fits.model.info()
     return info.select("target", F.array_join("features", ",").alias("features"), F.col("num_classes").cast("bigint").alias("num_classes"))
 
 
@@ -255,8 +284,8 @@ def requests_of(df: DataFrame) -> DataFrame:
     )
 
 
-def score_requests(df: DataFrame) -> DataFrame:
-    scored = score(requests_of(df), trained_model(df), now=NOW)
+def score_requests(fits: Fits) -> DataFrame:
+    scored = score(requests_of(fits.citations), fits.model, now=NOW)
     return scored.select(
         "request_id",
         "predicted_violation",
@@ -267,9 +296,9 @@ def score_requests(df: DataFrame) -> DataFrame:
     )
 
 
-def score_facts(df: DataFrame) -> DataFrame:
+def score_facts(fits: Fits) -> DataFrame:
     """Per request: what was read, and whether the answer has five different classes in order."""
-    scored = score(requests_of(df), trained_model(df), now=NOW)
+    scored = score(requests_of(fits.citations), fits.model, now=NOW)
     chances, named = F.col("top_predictions.probability"), F.col(f"top_predictions.{CODE}")
     ordered = chances == F.sort_array(chances, asc=False)
     answered = (
@@ -421,23 +450,20 @@ QUERIES: dict[str, Query] = {
     "encoded_target": over_frame(encoded_target),
     "stratified_split": over_citations(stratified_split, "summons_number", CODE),
     # Model
-    "train_predict": over_citations(train_predict, *TRAIN),
-    "feature_importance": over_citations(lambda df: trained_model(df).importance(), *TRAIN),
-    "model_info": over_citations(
-        lambda df: trained_model(df).info().withColumns(
-            {c: F.to_json(c) for c in ("features", "top_features")}
-        ),
-        *TRAIN,
+    "train_predict": over_fits(train_predict),
+    "feature_importance": over_fits(lambda fits: fits.model.importance()),
+    "model_info": over_fits(
+        lambda fits: fits.model.info().withColumns({c: F.to_json(c) for c in ("features", "top_features")})
     ),
-    "saved_model_report": over_citations(saved_model_report, *TRAIN),
-    "score_requests": over_citations(score_requests, *TRAIN),
+    "saved_model_report": over_fits(saved_model_report),
+    "score_requests": over_fits(score_requests),
     "evaluation_sample": over_citations(evaluation_sample, *TRAIN),
     # Of the model queries, the part that SQL can state
-    "train_predict_facts": over_citations(held_out_facts, *TRAIN),
-    "feature_importance_facts": over_citations(importance_facts, *TRAIN),
-    "model_info_facts": over_citations(model_info_facts, *TRAIN),
-    "saved_model_facts": over_citations(saved_report_facts, *TRAIN),
-    "score_requests_facts": over_citations(score_facts, *TRAIN),
+    "train_predict_facts": over_fits(held_out_facts),
+    "feature_importance_facts": over_fits(importance_facts),
+    "model_info_facts": over_fits(model_info_facts),
+    "saved_model_facts": over_fits(saved_report_facts),
+    "score_requests_facts": over_fits(score_facts),
     # Metrics
     "topk_classes": over_predictions(topk_classes),
     "metric_accuracy": over_predictions(metrics.accuracy),

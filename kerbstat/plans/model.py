@@ -36,7 +36,7 @@ LEARNERS = {
 }
 #: Partitions that a fit is spread over. Bags are drawn per partition, so the model depends on
 #: this number; it does not depend on cores, or on how the table's files were split.
-FIT_PARTITIONS = 16
+FIT_PARTITIONS = 8
 
 
 @dataclass
