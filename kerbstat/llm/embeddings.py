@@ -33,7 +33,7 @@ from kerbstat.llm.common import bounded_sample, components, merge_labels, star_e
 from kerbstat.session import stage
 
 #: Sampled entries, entries aimed at per list of a label, subspaces, codewords, rounds of k-means.
-SAMPLE, LIST, SUBSPACES, CODEWORDS, ROUNDS = 65_536, 1_024, 8, 64, 8
+SAMPLE, LIST, SUBSPACES, CODEWORDS, ROUNDS = 32_768, 1_024, 8, 64, 8
 #: Entries, and queries, of a list that one task compares.
 BLOCK = 4_096
 

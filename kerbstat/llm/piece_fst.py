@@ -68,9 +68,12 @@ class PieceTransducer:
         self.weight = {name: -model.get_score(i) for name, i in self.ids.items()}
         self.unknown = max(self.weight.values()) + 10.0
         self.longest = max(map(len, self.ids))
-        self.reach: dict[str, int] = {}  # length of the longest piece that begins with three characters
+        self.trie: dict = {}
         for name in self.ids:
-            self.reach[name[:3]] = max(self.reach.get(name[:3], 2), len(name))
+            node = self.trie
+            for c in name:
+                node = node.setdefault(c, {})
+            node[""] = True
         texts = [b"" if special else bytes([int(name[3:5], 16)]) if byte else name.replace(MARK, " ").encode() for name, (special, byte) in zip(names, kinds, strict=True)]
         self.is_byte = np.array([byte for _, byte in kinds])
         self.text_sizes = np.array([len(t) for t in texts], dtype=np.int64)
@@ -112,31 +115,43 @@ class PieceTransducer:
         """The pieces of the path whose arcs all weigh nothing."""
         if self.tested > TESTS:
             self.arcs, self.tested = {}, 0
-        n, ids, reach, arcs = len(word), self.ids, self.reach, self.arcs
-        i, left, end = 0, "", min(n, reach.get(word[:3], 2))
-        before: list[tuple[int, str, int]] = []  # places passed: where, in which state, what to try next
+        n, arcs, ends_from = len(word), self.arcs, self.ends_from
+        i, left, ends = 0, "", ends_from(word, 0)
+        before: list[tuple[int, str, list[int]]] = []  # places passed: where, in which state, what is left to try
         closed: set[int] = set()
         while i < n:
             open_arcs = arcs.get(left)
             if open_arcs is None:
                 open_arcs = arcs[left] = {}
-            while end > i:
+            while ends:
+                end = ends.pop()
                 if end not in closed:
                     piece = word[i:end]
                     passed = open_arcs.get(piece)
-                    if passed is None and (piece in ids or end == i + 1):
+                    if passed is None:
                         passed = open_arcs[piece] = self.neighbours(left, piece)
                     if passed:
                         break
-                end -= 1
-            if end == i:
+            else:
                 closed.add(i)
-                i, left, end = before.pop()
+                i, left, ends = before.pop()
                 continue
-            before.append((i, left, end - 1))
-            i, left, end = end, piece, min(n, end + reach.get(word[end : end + 3], 2))
+            before.append((i, left, ends))
+            i, left, ends = end, piece, ends_from(word, end)
         return [left for _, left, _ in before[1:]] + [left] * (n > 0)
 
+    def ends_from(self, word: str, i: int) -> list[int]:
+        """Where the pieces that begin at a place end, the longest last; one character is always an arc."""
+        ends, node, at = [i + 1], self.trie, i
+        for c in word[i : i + self.longest]:
+            node = node.get(c)
+            if node is None:
+                break
+            at += 1
+            if "" in node and at > i + 1:
+                ends.append(at)
+        return ends
+
     def weighted(self, word: str) -> list[str]:
         """The pieces of the path with the smallest sum of weights."""
         n = len(word)
