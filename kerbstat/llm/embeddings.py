@@ -4,14 +4,16 @@
 2. On a bounded sample, k-means fits coarse centroids, and codebooks per subspace for what is left after
    subtracting the centroid. Every entry is then indexed: its list, its codes, and its exact quantisation error.
 3. Every entry queries the lists that can hold a link. A vector within distance ``t`` can lie across a
-   boundary between two lists only if the query is within ``t`` of that boundary; of ``t`` the share
-   ``reach`` is asked for. At 1 this loses nothing. The default, ``min(1, 4 / sqrt(length))``, allows for
-   four standard deviations of a displacement in a random direction; it is exact up to 16 dimensions.
+   boundary between two lists only if the two are within ``t`` of that boundary together, so that one of
+   them is within ``t / 2``; of ``t`` the share ``reach`` is asked for. At 1/2, the default, and above this
+   loses nothing, whatever the vectors and their length; below, links may be lost.
 4. In a list, distances come from a table lookup per subspace. As each entry's quantisation error is known,
-   the triangle inequality tells which entries cannot link; the rest get their exact cosine.
+   the triangle inequality tells which entries cannot link; the rest get their exact cosine. An entry carries
+   the set of lists it probes: a link counts for the query, and for the entry too unless that probes the
+   query's list and finds the link there itself.
 
 Lists that are hot are dealt out in blocks of ``BLOCK`` entries by ``BLOCK`` queries. A task returns a count
-per query and at most one edge per entry (to the first of the local class), never its pairs.
+per query and per entry and at most one edge per entry (to the first of the local class), never its pairs.
 
 Nulls and edge cases: a vector that is null or zero, or holds null or non-finite components, or has a null
 label links with nothing and is its own component; vectors of different lengths do not link; a null id is
@@ -81,12 +83,12 @@ class Quantiser:
         told = np.concatenate([book[codes[:, s]] for s, book in enumerate(self.books)], axis=1)
         return own, codes.astype(np.uint8), np.sqrt(((rest - told) ** 2).sum(1))
 
-    def probes(self, units: np.ndarray, within: float) -> tuple[np.ndarray, np.ndarray]:
-        """``(row, list)`` of all lists whose side of the boundary begins within a distance of the row."""
+    def probes(self, units: np.ndarray, within: float) -> np.ndarray:
+        """For each row (rows) whether a list's (columns) side of the boundary begins within a distance of it."""
         own, squares = nearest(units, self.centres)
         apart = np.sqrt(nearest(self.centres, self.centres)[1])
         excess = squares - squares[np.arange(len(units)), own][:, None]
-        return np.nonzero(excess <= 2 * within * apart[own] + 1e-9)
+        return excess <= 2 * within * apart[own] + 1e-9
 
     def distances(self, units: np.ndarray, centre: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances of queries (rows) to coded entries (columns), by lookups."""
@@ -133,7 +135,7 @@ def scaled(row: np.ndarray) -> np.ndarray:
 
 
 def near_vectors(
-    vectors: DataFrame, least: float = 0.93, reach: float | None = None, id_column: str = "vec_id",
+    vectors: DataFrame, least: float = 0.93, reach: float = 0.5, id_column: str = "vec_id",
     vector_column: str = "embedding", label_column: str = "label", block: int = BLOCK, list_size: int = LIST,
 ) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` of every vector, linked at cosine ``least`` or more."""
@@ -160,16 +162,21 @@ def near_vectors(
             for size, rows in batch.groupby(batch["vec"].map(len) // 8):
                 tool, units = quantiser(int(size)), unit(stacked(rows["vec"]))
                 own, codes, error = tool.encode(units)
-                row, at = tool.probes(units, bound * (min(1.0, 4 / np.sqrt(size)) if reach is None else reach))
-                base = rows[["label", "node", "copies", "vec"]]
+                probed = tool.probes(units, bound * reach)
+                row, at = np.nonzero(probed)
+                base = rows[["label", "node", "copies", "vec"]].assign(home=own)
+                sets = [p.tobytes() for p in np.packbits(probed, axis=1)]
                 yield pd.concat(
                     [
-                        base.assign(size=int(size), list=own, query=False, codes=[c.tobytes() for c in codes], error=error),
-                        base.iloc[row].assign(size=int(size), list=at, query=True, codes=None, error=0.0),
+                        base.assign(size=int(size), list=own, query=False, codes=[c.tobytes() for c in codes], error=error, probed=sets),
+                        base.iloc[row].assign(size=int(size), list=at, query=True, codes=None, error=0.0, probed=None),
                     ]
-                )[["label", "size", "list", "query", "node", "copies", "vec", "codes", "error"]]
+                )[["label", "size", "list", "query", "node", "copies", "vec", "codes", "error", "home", "probed"]]
 
-    schema = "label bigint, size bigint, list bigint, query boolean, node bigint, copies bigint, vec binary, codes binary, error double"
+    schema = (
+        "label bigint, size bigint, list bigint, query boolean, node bigint, copies bigint, vec binary, codes binary, error double, "
+        "home bigint, probed binary"
+    )
     indexed = distinct.select("label", "node", "copies", "vec").mapInPandas(index, schema)
     keys = ["label", "size", "list"]
     sizes = indexed.groupBy(*keys).agg(
@@ -189,10 +196,12 @@ def near_vectors(
         entry, question = stacked(own["vec"]), stacked(asking["vec"])
         norms, asked_norms = np.sqrt((entry**2).sum(1)), np.sqrt((question**2).sum(1))
         codes = np.frombuffer(b"".join(own["codes"]), dtype=np.uint8).reshape(len(own), -1)
+        sets = np.frombuffer(b"".join(own["probed"]), dtype=np.uint8).reshape(len(own), -1)
+        home, asked_copies = asking["home"].to_numpy(), asking["copies"].to_numpy()
         limit = bound + own["error"].to_numpy() + 1e-9
         nodes, where = np.unique(np.concatenate([own["node"], asking["node"]]), return_inverse=True)
         left, right = where[: len(own)], where[len(own) :]
-        copies, label, links = own["copies"].to_numpy(), np.arange(len(nodes)), np.zeros(len(asking), dtype=np.int64)
+        copies, label, links = own["copies"].to_numpy(), np.arange(len(nodes)), np.zeros(len(nodes), dtype=np.int64)
         step = max(1, 500_000 // len(own))
         for at in range(0, len(asking), step):
             part = question[at : at + step]
@@ -201,12 +210,14 @@ def near_vectors(
             a, b = a[other], b[other]
             cosine = np.einsum("ij,ij->i", part[a], entry[b]) / (asked_norms[a + at] * norms[b])
             a, b = a[cosine >= least], b[cosine >= least]
-            np.add.at(links, a + at, copies[b])
+            np.add.at(links, right[a + at], copies[b])
+            lone = (sets[b, home[a + at] >> 3] >> (7 - (home[a + at] & 7))) & 1 == 0  # the entry does not ask back
+            np.add.at(links, left[b[lone]], asked_copies[a[lone] + at])
             label = merge_labels(label, right[a + at], left[b])
         rest, first = star_edges(nodes, label)
         return pd.concat(
             [
-                pd.DataFrame({"node": asking["node"].to_numpy(), "links": links, "first": asking["node"].to_numpy()})[links > 0],
+                pd.DataFrame({"node": nodes, "links": links, "first": nodes})[links > 0],
                 pd.DataFrame({"node": rest, "links": 0, "first": first}),
             ]
         )

@@ -85,6 +85,20 @@ def test_clusters_across_lists_and_blocks(spark, block, list_size):
     assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
 
 
+def test_links_along_few_directions_count_at_both_ends(spark):
+    """Copies moved towards another cluster, all along one line, with lists that cut it in many places."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(6):
+        ends = embeddings.unit(rng.normal(size=(2, 384)))
+        for share in rng.random(100):
+            blend = share * ends[0] + (1 - share) * ends[1]
+            rows.append((len(rows), blend.astype(np.float32).tolist(), int(k % 2)))
+    rows += [(len(rows) + i, v, label) for i, (_, v, label) in enumerate(rows[::50])]
+    got = result(embeddings.near_vectors(spark.createDataFrame(rows, SCHEMA), block=40, list_size=20))
+    assert got == expected(rows)
+
+
 def test_lookup_distances_are_those_of_the_decoded_entries():
     rng = np.random.default_rng(1)
     units = embeddings.unit(rng.normal(size=(400, 20)))
