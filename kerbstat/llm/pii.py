@@ -300,13 +300,20 @@ def digest(found_spans: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; of overlapping spans the first counts."""
+    """The text with every span replaced by its kind in brackets.
+
+    Of a span that reaches beyond those before it, what is left is replaced as well; one inside them adds nothing.
+    """
 
     def apart(ss: Column) -> Column:
         first = F.array().cast(SPAN)
-        return F.aggregate(
-            ss, first, lambda acc, s: F.when((F.size(acc) == 0) | (s["start"] >= F.element_at(acc, F.when(F.size(acc) == 0, 1).otherwise(-1))["end"]), F.concat(acc, F.array(s))).otherwise(acc)
-        )
+
+        def behind(acc: Column, s: Column) -> Column:
+            done = F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0))
+            rest = s.withField("start", F.greatest(s["start"], done))
+            return F.when(s["end"] > done, F.concat(acc, F.array(rest))).otherwise(acc)
+
+        return F.aggregate(ss, first, behind)
 
     def rewritten(ss: Column) -> Column:
         def piece(s: Column, i: Column) -> Column:

@@ -110,6 +110,30 @@ def test_redaction(spark):
     assert got[4][0].startswith("[IP]")
 
 
+def test_redaction_leaves_nothing_of_overlapping_spans(spark):
+    texts = {
+        "1.1.1.1+1 2345678901@x.yz": "[IP][PHONE][EMAIL]",
+        "é 1.1.1.1+1 2345678901@x.yz, a@b.de": "é [IP][PHONE][EMAIL], [EMAIL]",
+        "4111111111111 129.0.0.1 end": "[CARD][IP] end",
+    }
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    got = [r["text"] for r in pii.redact_personal_data(docs).collect()]
+    assert got == list(texts.values())
+
+
+@pytest.mark.parametrize(
+    ("spans", "want"),
+    [
+        ([(0, 4), (2, 6)], "[A][A]ghij"), ([(0, 4), (1, 3), (2, 6)], "[A][A]ghij"), ([(0, 6), (1, 3), (3, 5)], "[A]ghij"),
+        ([(1, 3), (1, 5), (4, 7), (8, 9)], "a[A][A][A]h[A]j"),
+    ],
+)
+def test_redaction_covers_the_union(spark, spans, want):
+    rows = [("abcdefghij", [(a, 0, b, "a", "", "", "") for a, b in spans])]
+    df = spark.createDataFrame(rows, f"text string, spans {pii.SPAN}")
+    assert df.select(pii.redacted(F.col("text"), F.col("spans"))).first()[0] == want
+
+
 @pytest.mark.parametrize("n", [1, 255, 256, 257, 1000])
 def test_running_ends(spark, n):
     df = spark.createDataFrame([(list(range(n)),)], "xs array<bigint>")
