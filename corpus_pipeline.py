@@ -7,7 +7,7 @@ as Parquet and read again for the next. All but the last return the columns of `
 2. ``simhash_near_dedup`` keeps one document of each component of near-duplicates (three-word shingles,
    two differing bits), the one with the smallest id;
 3. ``pii`` replaces personal data in texts by the kind in brackets and counts ``n_chars`` anew;
-4. ``packing`` returns the pieces of the remaining documents with their places in sequences of 4096.
+4. ``packing`` returns the pieces of the remaining documents, token ids and all, with their places in sequences of 4096.
 
 Null texts fail the first stage (no words); null ids are kept; repeated rows are near-duplicates of each
 other, so one stays; an empty table passes through; further columns are carried along to the last stage.
@@ -40,7 +40,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    return packing.pack_documents(docs, queries.tokenizer_path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, queries.tokenizer_path("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -84,8 +84,8 @@ def op9_ppm_score(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_piece_transducer(spark: SparkSession, folder: str) -> DataFrame:
-    """Pieces of every document, and whether they decode to the document."""
-    return piece_fst.encode_documents(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    """Pieces of every document, their ids, and whether they decode to the document."""
+    return piece_fst.encode_documents(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=True)
 
 
 QUERIES: dict[str, Query] = {

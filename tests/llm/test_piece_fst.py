@@ -63,6 +63,12 @@ def test_edge_rows(spark, library, tmp_path):
     assert {(r["doc_id"], r["text"]) for r in decoded} == {(d, (t or "").replace("▁", " ")) for d, t in rows}
 
 
+def test_query_returns_the_ids(spark, library, tmp_path):
+    spark.createDataFrame([*enumerate(TEXTS)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["ids"] for r in op10_piece_transducer(spark, str(tmp_path)).collect()}
+    assert got == {d: library.encode(t or "") for d, t in enumerate(TEXTS)}
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert op10_piece_transducer(spark, str(tmp_path)).count() == 0

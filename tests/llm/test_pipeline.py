@@ -46,6 +46,13 @@ def test_run_matches_plain_stages(spark):
     test_packing.check(rows, docs)
 
 
+def test_packing_returns_the_ids(spark):
+    docs = [(1, "some text"), (2, "word " * 5000), (None, None)]
+    rows = corpus_pipeline.packed_sequences(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), SMALL).collect()
+    got = {d: [i for r in sorted(rows, key=lambda r: r["start"]) if r["doc_id"] == d for i in r["ids"]] for d, _ in docs}
+    assert got == {d: test_packing.whole_ids(t) for d, t in docs}
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.createDataFrame(
         [(i, f"{t} text number {i} with more than ten words in it so that it stays here", "en", "s", 1, i) for i, t in enumerate("abc")]
