@@ -52,7 +52,7 @@ def over_citations(operator: Callable[[DataFrame], DataFrame], *columns: str) ->
 class Fits:
     """The training job and the model of a folder, fitted at their full size when first asked for.
 
-    Queries of a model share it within a session, as scoring and evaluation share a saved one.
+    Every call of a query has its own, so it reads the table as it is then and fits anew.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -69,19 +69,10 @@ class Fits:
         return fit_model(features.training_frame(features.load_features(self.citations)))
 
 
-_FITS: dict[tuple[str, str], Fits] = {}
-
-
 def over_fits(operator: Callable[[Fits], DataFrame]) -> Query:
     """A query over the training job, or the model, of a folder."""
 
-    def query(spark: SparkSession, path: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, path)
-        if key not in _FITS:
-            _FITS[key] = Fits(spark, path)
-        return plain(operator(_FITS[key]))
-
-    return query
+    return lambda spark, path: plain(operator(Fits(spark, path)))
 
 
 def over_training(operator: Callable[[DataFrame], DataFrame], coordinates: bool = False) -> Query:

@@ -8,12 +8,14 @@ from uuid import uuid4
 import pytest
 from pyspark.sql import functions as F
 
+from checks import registry
 from kerbstat.operators.features import load_features, training_frame
 from kerbstat.plans.model import ClassModel, fit_model, predictions
 from kerbstat.plans.scoring import REQUEST_DEFAULTS, score
 from kerbstat.plans.training import evaluation_frame, run_evaluation, run_training
 from kerbstat.schema import COLUMN_ROLES
 from kerbstat.session import work_dir
+from tests.conftest import SMALL
 
 SMALL_FOREST = {"numTrees": 5, "maxDepth": 5}
 
@@ -163,3 +165,10 @@ def test_request_hour_is_that_of_its_time(spark):
     requests = spark.createDataFrame([(datetime(2024, 1, 15, 14, 30),), (datetime(2024, 1, 13, 0, 5),)], "datetime timestamp")
     rows = request_features(complete(requests)).select("hour", "time_of_day", "is_weekend").collect()
     assert [tuple(r) for r in rows] == [(14, "afternoon", 0), (0, "night", 1)]
+
+
+def test_each_query_fits_anew(spark):
+    seen = []
+    query = registry.over_fits(lambda fits: seen.append(fits) or spark.range(1))
+    assert query(spark, SMALL).count() == query(spark, SMALL).count() == 1
+    assert seen[0] is not seen[1] and seen[0].root != seen[1].root
