@@ -126,3 +126,28 @@ def slices(batch: pa.RecordBatch, text: int, limit: int = 16 << 20) -> Iterator[
         stop = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(at, stop - at)
         at = stop
+
+
+#: Bytes of words (digits, letters, everything beyond ASCII), with A-Z lower-cased; all else is a blank.
+PLAIN = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
+
+
+def translated(texts: pa.StringArray, to: bytes = PLAIN) -> pa.StringArray:
+    """Texts with each byte replaced by its entry of ``to``, which maps ASCII to ASCII."""
+    if not len(texts) or texts.buffers()[2] is None:
+        return texts
+    begins = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[begins[0] : begins[-1]]
+    new = np.frombuffer(to, dtype=np.uint8)[data]
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(begins - begins[0]), pa.py_buffer(new))
+
+
+def coded_words(texts: pa.StringArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of :data:`PLAIN` texts (the empty one may be among them), the word at each place, its text."""
+    split = pa.compute.ascii_split_whitespace(translated(texts))
+    coded = split.flatten().dictionary_encode()
+    text = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    place = coded.indices.to_numpy(zero_copy_only=False)
+    empty = pa.compute.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()
+    real = place != empty
+    return coded.dictionary, place[real], text[real]

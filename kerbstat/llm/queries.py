@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbstat.llm import chat, embeddings, licenses, packing, piece_fst, pii, ppm, quality, simhash, url_rules
+from kerbstat.llm import (
+    alignment, chat, embeddings, lexical, licenses, packing, piece_fst, pii, ppm, quality, simhash, toxicity, url_rules,
+)
 from kerbstat.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +90,23 @@ def op10_piece_transducer(spark: SparkSession, folder: str) -> DataFrame:
     return piece_fst.encode_documents(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=True)
 
 
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Chance of toxicity of every document, learned from the labels that are not held out."""
+    docs = table(spark, folder, "documents")
+    return toxicity.digest(toxicity.score_documents(docs, toxicity.fit(docs, table(spark, folder, "labels"))))
+
+
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links of two tokenizers over every document, and how frequent the links are."""
+    paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    return alignment.align_documents(table(spark, folder, "documents"), *paths)
+
+
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_url_filters": op2_url_filters,
@@ -99,6 +118,9 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_ppm_score": op9_ppm_score,
     "op10_piece_transducer": op10_piece_transducer,
+    "op11_toxicity": op11_toxicity,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -196,5 +218,24 @@ b AS (SELECT *, CAST((CASE WHEN n_words < 10 THEN 1 ELSE 0 END)
         + (CASE WHEN word_chars > 40 * n_words THEN 32 ELSE 0 END) AS BIGINT) AS failures FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failures & 3) <> 0 AS base_failed, failures = 0 AS kept, failures FROM b
+""",
+    "op13_lexical_search": r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+q AS (SELECT row_number() OVER () AS i, item_id, list_distinct(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS ws FROM benchmark),
+s AS (SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(len(ws)) AS BIGINT) AS nt FROM d WHERE len(ws) > 0),
+u AS (SELECT k, unnest(ws) AS term FROM d),
+t AS (SELECT k, term, count(*) AS tf FROM u GROUP BY k, term),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, s GROUP BY term, nd),
+p AS (SELECT t.k, t.term, f.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * CAST(len(d.ws) AS BIGINT) * nd) // nt))) AS impact
+      FROM t JOIN f USING (term) JOIN d USING (k), s),
+r AS (SELECT q.i, q.item_id, p.k, CAST(sum(impact) AS BIGINT) AS score
+      FROM (SELECT i, item_id, unnest(ws) AS term FROM q) q JOIN p USING (term) GROUP BY q.i, q.item_id, p.k),
+o AS (SELECT i, item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS n
+      FROM r JOIN d USING (k) WHERE score > 0)
+SELECT item_id, CAST(n AS INTEGER) AS rank, doc_id, score FROM o WHERE n <= 50
 """,
 }
