@@ -123,6 +123,22 @@ vocabulary AS (
 )"""
 )
 
+PARTS = """
+enough AS (
+  SELECT violation_code, count(*) AS n, row_number() OVER (ORDER BY violation_code) - 1 AS label
+  FROM final GROUP BY violation_code HAVING count(*) >= 10
+),
+ranked AS (
+  SELECT summons_number, n, label,
+    row_number() OVER (PARTITION BY violation_code ORDER BY md5('42|' || summons_number), summons_number) AS r
+  FROM final JOIN enough USING (violation_code)
+),
+parts AS (
+  SELECT *, CASE WHEN r <= round(n * 0.2) THEN 'test'
+                 WHEN r <= round(n * 0.2) + round((n - round(n * 0.2)) * 0.1) THEN 'validation' ELSE 'train' END AS split
+  FROM ranked
+)"""
+
 KEPT = """
 counts AS (SELECT violation_code, count(*) AS n FROM citation WHERE violation_code IS NOT NULL GROUP BY 1),
 kept AS (
@@ -259,9 +275,6 @@ ORACLES = {
             for i, (name, kind, nullable) in enumerate(TABLE_COLUMNS, start=1)
         )
     ),
-    "table_schema": "SELECT * FROM (VALUES "
-    + ", ".join(f"({i}, '{name}', '{kind}', '{nullable}')" for i, (name, kind, nullable) in enumerate(TABLE_COLUMNS, start=1))
-    + ") AS t(ordinal_position, column_name, data_type, is_nullable)",
     "row_count": _q("SELECT count(*) AS row_count FROM citation"),
     "date_range": _q(
         """SELECT CAST(min(issue_date) AS VARCHAR) AS first_date, CAST(max(issue_date) AS VARCHAR) AS last_date
@@ -411,22 +424,50 @@ ORACLES = {
         NAMED,
     ),
     **{f"view_refresh_{name}": _q(VIEWS[name]) for name in ("precinct_stats", "violation_stats", "monthly_trends")},
-    "train_predict_facts": _q(
-        """SELECT summons_number, split, CAST(label AS INT) AS label, true AS sums_to_one, true AS is_arg_max, true AS one_per_class
-  FROM (SELECT *, CASE WHEN r <= round(n * 0.2) THEN 'test'
-                       WHEN r <= round(n * 0.2) + round((n - round(n * 0.2)) * 0.1) THEN 'validation' ELSE 'train' END AS split
-        FROM ranked) WHERE split <> 'train'""",
-        FEATURES,
-        FINAL,
-        """enough AS (
-  SELECT violation_code, count(*) AS n, row_number() OVER (ORDER BY violation_code) - 1 AS label
-  FROM final GROUP BY violation_code HAVING count(*) >= 10
-),
-ranked AS (
-  SELECT summons_number, n, label,
-    row_number() OVER (PARTITION BY violation_code ORDER BY md5('42|' || summons_number), summons_number) AS r
-  FROM final JOIN enough USING (violation_code)
-)""",
+    **{
+        name: _q(
+            "SELECT summons_number, split, CAST(label AS INT) AS label, true AS sums_to_one, true AS is_arg_max, "
+            "true AS one_per_class FROM parts WHERE split <> 'train'",
+            FEATURES, FINAL, PARTS,
+        )
+        for name in ("train_predict_facts", "boosted_predict_facts")
+    },
+    "boosted_rounds_facts": _q(
+        """SELECT split, CAST(round AS INT) AS round, count(*) AS rows, CASE WHEN split = 'train' THEN true END AS falls
+  FROM parts, range(1, 16) AS r(round) GROUP BY split, round""",
+        FEATURES, FINAL, PARTS,
+    ),
+    "boosted_saved_facts": _q("SELECT summons_number, true AS unchanged FROM parts WHERE split <> 'train'", FEATURES, FINAL, PARTS),
+    "boosted_first_splits": _q(
+        """SELECT CAST(place AS INT) AS place, feature, value AS cut, round(gain, 4) AS gain
+  FROM (SELECT *, row_number() OVER (ORDER BY gain DESC, feature) AS place
+        FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY gain DESC, value) AS r FROM gains) WHERE r = 1)
+  WHERE place <= 10""",
+        FEATURES, FINAL, VOCABULARY,
+        "entries AS ("
+        + " UNION ALL ".join(
+            f"SELECT '{c.strip()}' AS feature, CAST({c.strip()} AS DOUBLE) AS value, violation_code FROM final" for c in ["hour", *NUMERIC.split(",")]
+        )
+        + "".join(
+            f" UNION ALL SELECT '{c}', CAST(code AS DOUBLE), violation_code FROM final JOIN vocabulary "
+            f"ON feature = '{c}' AND vocabulary.value = coalesce(final.{c}, 'UNKNOWN')"
+            for c in CATEGORICAL
+        )
+        + """),
+classes AS (SELECT violation_code, count(*) AS total FROM final GROUP BY 1),
+unit AS (SELECT k, round_even((1.0 / k) * 1048576, 0) AS other, round_even((1.0 / k - 1) * 1048576, 0) AS own,
+    round_even(2 * (1.0 / k) * (1 - 1.0 / k) * 1048576, 0) / 1048576 AS h, n
+  FROM (SELECT CAST(count(*) AS DOUBLE) AS k, CAST(sum(total) AS DOUBLE) AS n FROM classes)),
+cells AS (SELECT feature, value, violation_code, count(*) AS n FROM entries GROUP BY ALL),
+grid AS (SELECT feature, value, violation_code, total, coalesce(n, 0) AS n
+  FROM (SELECT DISTINCT feature, value FROM entries) CROSS JOIN classes LEFT JOIN cells USING (feature, value, violation_code)),
+below AS (SELECT feature, value, total, sum(n) OVER (PARTITION BY feature, violation_code ORDER BY value) AS c FROM grid),
+counted AS (SELECT *, sum(c) OVER (PARTITION BY feature, value) AS m FROM below),
+sums AS (SELECT feature, value, m, unit.n, k, h, (m * other + c * (own - other)) / 1048576 AS gl,
+    (unit.n * other + total * (own - other)) / 1048576 AS g FROM counted, unit),
+gains AS (SELECT feature, value,
+    0.5 * (sum(gl * gl / (m * h + 1)) + sum((g - gl) * (g - gl) / ((n - m) * h + 1)) - sum(g * g / (n * h + 1))) AS gain
+  FROM sums WHERE least(m, n - m) * k * h >= 5 GROUP BY feature, value HAVING gain > 1e-9)""",
     ),
     "feature_importance_facts": "SELECT unnest(["
     + ", ".join(f"'{c.strip()}'" for c in ["hour", *NUMERIC.split(","), *CATEGORICAL])

@@ -11,11 +11,11 @@ from functools import cached_property
 from uuid import uuid4
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from kerbstat.operators import classes, features, metrics, scan, stats, vocabulary
-from kerbstat.plans import views
-from kerbstat.plans.model import ClassModel, fit_model
+from kerbstat.plans import boosting, views
+from kerbstat.plans.model import ClassModel, fit_model, predictions
 from kerbstat.plans.scoring import score
 from kerbstat.plans.training import TrainingRun, evaluation_frame, run_evaluation, run_training
 from kerbstat.schema import CODE, COLUMN_ROLES, TRAINING_COLUMNS
@@ -27,6 +27,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 DATES = {"start": "1995-01-01", "end": "1997-01-01"}
 CLASSES = 50
+#: The registered boosted model; the contract's 200 rounds of depth 8 are the default of the library.
+BOOST = {"rounds": 15, "depth": 5, "max_bins": 64}
 #: What stands in for a request's missing time.
 NOW = datetime(2024, 1, 15, 14, 30)
 
@@ -64,6 +66,10 @@ class Fits:
     def run(self) -> TrainingRun:
         return run_training(self.citations, output=self.root)
 
+    @cached_property
+    def boosted(self) -> TrainingRun:
+        return run_training(self.citations, learner="boosted", params=BOOST, output=self.root)
+
     @cached_property
     def model(self) -> ClassModel:
         return fit_model(features.training_frame(features.load_features(self.citations)))
@@ -206,15 +212,14 @@ def topk_classes(df: DataFrame) -> DataFrame:
     return vocabulary.decode(coded, labels, "code", CODE)
 
 
-def train_predict(fits: Fits) -> DataFrame:
-    return fits.run.held_out.select(
+def train_predict(run: TrainingRun) -> DataFrame:
+    return run.held_out.select(
         "summons_number", "split", "label", "prediction", F.array_max("probability").alias("confidence")
     )
 
 
-def held_out_facts(fits: Fits) -> DataFrame:
+def held_out_facts(run: TrainingRun) -> DataFrame:
     """What is exact about predictions: which rows and labels, and how the columns hang together."""
-    run = fits.run
     total = F.aggregate("probability", F.lit(0.0), lambda a, p: a + p)
     best = F.array_max("probability")
     return run.held_out.select(
@@ -225,6 +230,38 @@ def held_out_facts(fits: Fits) -> DataFrame:
     )
 
 
+def boosted_rounds(run: TrainingRun) -> DataFrame:
+    return rounded(run.rounds(), "logloss", "error")
+
+
+def boosted_rounds_facts(run: TrainingRun) -> DataFrame:
+    """Rows of each part in each round, and that the loss on the training part falls from round to round."""
+    before = F.lag("logloss").over(Window.partitionBy("split").orderBy("round"))
+    falls = F.when(F.col("split") == "train", F.coalesce(F.col("logloss") < before, F.col("logloss") < F.log(F.lit(len(run.model.labels)))))
+    return run.rounds().select("split", "round", "rows", falls.alias("falls"))
+
+
+def boosted_saved_facts(fits: Fits) -> DataFrame:
+    """The held-out rows, and whether the saved and loaded model gives them the same answers."""
+    run = fits.boosted
+    again = predictions(ClassModel.load_latest(fits.spark, fits.root), run.parts.where(F.col("split") != "train"))
+    same = (F.col("u.prediction") == F.col("s.prediction")) & (F.col("u.probability") == F.col("s.probability"))
+    both = run.held_out.alias("u").join(again.alias("s"), "summons_number", "full")
+    return both.select("summons_number", F.coalesce(same, F.lit(False)).alias("unchanged"))
+
+
+def boosted_first_splits(frame: DataFrame) -> DataFrame:
+    """The ten features that split best at the root of the first tree, with cut and gain."""
+    numeric, categorical = features.feature_columns(frame.columns)
+    labels = stage(vocabulary.fit_labels(frame, CODE), "labels")
+    codes = stage(vocabulary.fit_vocabulary(frame, categorical), "vocabulary")
+    encoded = stage(vocabulary.encode_target(vocabulary.encode(frame, codes, categorical), labels, CODE), "encoded")
+    found = boosting.first_splits(encoded, [*numeric, *categorical], labels.count())
+    top = found.orderBy(F.desc("gain"), "feature").limit(10)
+    place = F.row_number().over(Window.orderBy(F.desc("gain"), "feature"))  # of ten rows
+    return top.select(place.alias("place"), "feature", "cut", F.round("gain", 4).alias("gain"))
+
+
 def saved_model_report(fits: Fits) -> DataFrame:
     """The report of a model that was trained, saved and loaded again."""
     return run_evaluation(fits.citations, saved_model(fits), sample=None)[0]
@@ -349,7 +386,6 @@ QUERIES: dict[str, Query] = {
     "training_sample_high": over_citations(lambda df: scan.training_load(df, sample=0.999999), *TRAIN),
     "csv_roundtrip": over_citations(csv_roundtrip),
     "table_info": over_citations(lambda df: scan.table_info(df, count_nulls=df.columns)),
-    "table_schema": over_citations(scan.table_info),
     "row_count": over_citations(scan.row_count, "summons_number"),
     "date_range": over_citations(scan.date_range, "issue_date"),
     "adhoc_sql": over_citations(
@@ -441,7 +477,10 @@ QUERIES: dict[str, Query] = {
     "encoded_target": over_frame(encoded_target),
     "stratified_split": over_citations(stratified_split, "summons_number", CODE),
     # Model
-    "train_predict": over_fits(train_predict),
+    "train_predict": over_fits(lambda fits: train_predict(fits.run)),
+    "boosted_predict": over_fits(lambda fits: train_predict(fits.boosted)),
+    "boosted_rounds": over_fits(lambda fits: boosted_rounds(fits.boosted)),
+    "boosted_first_splits": over_frame(boosted_first_splits),
     "feature_importance": over_fits(lambda fits: fits.model.importance()),
     "model_info": over_fits(
         lambda fits: fits.model.info().withColumns({c: F.to_json(c) for c in ("features", "top_features")})
@@ -450,7 +489,10 @@ QUERIES: dict[str, Query] = {
     "score_requests": over_fits(score_requests),
     "evaluation_sample": over_citations(evaluation_sample, *TRAIN),
     # Of the model queries, the part that SQL can state
-    "train_predict_facts": over_fits(held_out_facts),
+    "train_predict_facts": over_fits(lambda fits: held_out_facts(fits.run)),
+    "boosted_predict_facts": over_fits(lambda fits: held_out_facts(fits.boosted)),
+    "boosted_rounds_facts": over_fits(lambda fits: boosted_rounds_facts(fits.boosted)),
+    "boosted_saved_facts": over_fits(boosted_saved_facts),
     "feature_importance_facts": over_fits(importance_facts),
     "model_info_facts": over_fits(model_info_facts),
     "saved_model_facts": over_fits(saved_report_facts),

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime, timezone
-from typing import Any
+from typing import Any, ClassVar
 from uuid import uuid4
 
-from pyspark.ml import PipelineModel, Pipeline
-from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
+import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -16,12 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from kerbstat.operators.features import feature_columns
 from kerbstat.operators.metrics import top_classes
 from kerbstat.operators.vocabulary import encode, encode_target, fit_labels, fit_vocabulary
+from kerbstat.plans import boosting
 from kerbstat.schema import CODE, ID
 from kerbstat.session import stage
 
-# One training contract for both learners: 200 trees of depth 8, at least five rows in a leaf,
-# four fifths of the rows and of the features for each tree.
-TREES = {
+# One training contract for both learners: 200 trees of depth 8, at least five rows in a leaf (boosted: second
+# derivatives of five), four fifths of the rows and of the features for each tree.
+FOREST = {
+    "numTrees": 200,
     "maxDepth": 8,
     "minInstancesPerNode": 5,
     "subsamplingRate": 0.8,
@@ -30,25 +33,27 @@ TREES = {
     "maxMemoryInMB": 1024,
     "seed": 42,
 }
-LEARNERS = {
-    "forest": {**TREES, "numTrees": 200},
-    "boosted": {**TREES, "maxIter": 200, "stepSize": 0.1},
-}
-#: Partitions that a fit is spread over. Bags are drawn per partition, so the model depends on
-#: this number; it does not depend on cores, or on how the table's files were split.
-FIT_PARTITIONS = 8
+#: Numbers of the matrix that a partition of a forest's fit holds, and the fewest partitions. Bags are drawn per
+#: partition, so the model depends on their number, and that on the data alone: not on cores, or on how files were split.
+FIT_CELLS, FIT_PARTITIONS = 4_000_000, 8
+
+
+def fit_partitions(rows: int, columns: int) -> int:
+    """Partitions for a forest's fit on a matrix of that size."""
+    return max(FIT_PARTITIONS, -(-rows * columns // FIT_CELLS))
 
 
 @dataclass
 class ClassModel:
     """A fitted model with the vocabularies that lead to and from its numbers."""
 
-    pipeline: PipelineModel
+    pipeline: PipelineModel | None
     vocabulary: DataFrame
     labels: list[str]
     numeric: list[str]
     categorical: list[str]
     target: str = CODE
+    learner: ClassVar[str] = "forest"
 
     @property
     def features(self) -> list[str]:
@@ -65,27 +70,12 @@ class ClassModel:
     def predict(self, encoded: DataFrame) -> DataFrame:
         """Add ``prediction`` (class number) and ``probability`` (one entry per class)."""
         assembler, fitted = self.pipeline.stages
-        kept = [F.col(c) for c in encoded.columns]
-        rows = assembler.transform(encoded)
-        if not isinstance(fitted, OneVsRestModel):
-            scored = fitted.transform(rows)
-            return scored.select(
-                *kept,
-                F.col("prediction").cast("int").alias("prediction"),
-                vector_to_array("probability").alias("probability"),
-            )
-        # One model per class against the rest: its chance of the class, scaled to sum up to 1.
-        chances = []
-        for i, one in enumerate(fitted.models):
-            rows = one.transform(
-                rows, {one.probabilityCol: f"_chance_{i}", one.rawPredictionCol: "", one.predictionCol: ""}
-            )
-            chances.append(vector_to_array(f"_chance_{i}")[1])
-        rows = rows.select(*kept, F.array(*chances).alias("_chances"))
-        rows = rows.withColumn("_sum", F.aggregate("_chances", F.lit(0.0), lambda a, c: a + c))
-        probability = F.transform("_chances", lambda c: c / F.col("_sum"))
-        best = F.array_position("_chances", F.array_max("_chances")) - 1
-        return rows.select(*kept, best.cast("int").alias("prediction"), probability.alias("probability"))
+        scored = fitted.transform(assembler.transform(encoded))
+        return scored.select(
+            *[F.col(c) for c in encoded.columns],
+            F.col("prediction").cast("int").alias("prediction"),
+            vector_to_array("probability").alias("probability"),
+        )
 
     def name_of(self, code: Column) -> Column:
         """Class name of a class number."""
@@ -109,10 +99,8 @@ class ClassModel:
 
     def importance(self) -> DataFrame:
         """``(feature, importance)``, most important first."""
-        fitted = self.pipeline.stages[-1]
-        parts = fitted.models if isinstance(fitted, OneVsRestModel) else [fitted]
-        shares = sum(m.featureImportances.toArray() for m in parts) / len(parts)
-        rows = [(name, float(share)) for name, share in zip(self.features, shares)]
+        shares = self.pipeline.stages[-1].featureImportances.toArray()
+        rows = [(name, float(share)) for name, share in zip(self.features, shares, strict=True)]
         table = self.vocabulary.sparkSession.createDataFrame(rows, "feature string, importance double")
         return table.orderBy(F.desc("importance"), "feature")
 
@@ -136,24 +124,33 @@ class ClassModel:
         path = f"{root.rstrip('/')}/{version}"
         # The first write claims the folder: it fails if the version is there already.
         self.vocabulary.write.mode("error").parquet(f"{path}/vocabulary")
-        self.pipeline.write().save(f"{path}/pipeline")
+        self._save_trees(path)
         facts = self.vocabulary.sparkSession.createDataFrame(
-            [(self.target, self.numeric, self.categorical, self.labels)], FACTS
+            [(self.target, self.numeric, self.categorical, self.labels, self.learner)], FACTS
         )
         facts.coalesce(1).write.mode("error").parquet(f"{path}/facts")
         return path
 
+    def _save_trees(self, path: str) -> None:
+        self.pipeline.write().save(f"{path}/pipeline")
+
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> ClassModel:
+        """A saved model, of the class of its learner."""
         facts = spark.read.schema(FACTS).parquet(f"{path}/facts").first()
-        return cls(
-            pipeline=PipelineModel.load(f"{path}/pipeline"),
-            vocabulary=spark.read.parquet(f"{path}/vocabulary"),
-            labels=list(facts["labels"]),
-            numeric=list(facts["numeric"]),
-            categorical=list(facts["categorical"]),
-            target=facts["target"],
-        )
+        own = {
+            "vocabulary": spark.read.parquet(f"{path}/vocabulary"),
+            "labels": list(facts["labels"]),
+            "numeric": list(facts["numeric"]),
+            "categorical": list(facts["categorical"]),
+            "target": facts["target"],
+        }
+        if facts["learner"] != BoostedModel.learner:
+            return ClassModel(PipelineModel.load(f"{path}/pipeline"), **own)
+        edges = {r["feature"]: np.array(r["edges"]) for r in spark.read.parquet(f"{path}/edges").collect()}
+        features = [*own["numeric"], *own["categorical"]]
+        trees = spark.read.schema(boosting.NODES).parquet(f"{path}/trees")
+        return BoostedModel(None, **own, boosted=boosting.from_nodes(trees, features, [edges[f] for f in features], len(own["labels"])))
 
     @classmethod
     def load_latest(cls, spark: SparkSession, root: str) -> ClassModel:
@@ -164,7 +161,43 @@ class ClassModel:
         return cls.load(spark, f"{root}/{files.agg(F.max(version)).first()[0]}")
 
 
-FACTS = "target string, numeric array<string>, categorical array<string>, labels array<string>"
+@dataclass
+class BoostedModel(ClassModel):
+    """A model of boosted trees; ``pipeline`` is not used."""
+
+    boosted: boosting.Boosted | None = None
+    learner: ClassVar[str] = "boosted"
+
+    def predict(self, encoded: DataFrame) -> DataFrame:
+        chances = boosting.probabilities(self.boosted)(boosting.feature_array(self.features))
+        rows = encoded.select(*[F.col(c) for c in encoded.columns], chances.alias("probability"))
+        best = F.array_position("probability", F.array_max("probability")) - 1
+        return rows.select(*[F.col(c) for c in encoded.columns], best.cast("int").alias("prediction"), "probability")
+
+    def nodes(self) -> DataFrame:
+        """Every node of every tree: feature number, cut, gain, cover, values."""
+        return boosting.nodes_frame(self.vocabulary.sparkSession, self.boosted)
+
+    def split_importance(self) -> DataFrame:
+        """``(feature, importance, splits, gain, cover)``: by the mean gain of the splits on a feature."""
+        return boosting.split_importance(self.nodes(), self.features)
+
+    def importance(self) -> DataFrame:
+        return self.split_importance().select("feature", "importance")
+
+    def staged_scores(self, frame: DataFrame, part: str = "split") -> DataFrame:
+        """Loss and error after every round on the parts of a training frame; see :mod:`kerbstat.plans.boosting`."""
+        encoded = encode_target(self.encode(frame), self.label_frame(), self.target)
+        return boosting.staged_scores(encoded, self.boosted, part)
+
+    def _save_trees(self, path: str) -> None:
+        self.nodes().write.parquet(f"{path}/trees")
+        edges = [(f, e.tolist()) for f, e in zip(self.features, self.boosted.edges, strict=True)]
+        table = self.vocabulary.sparkSession.createDataFrame(edges, "feature string, edges array<double>")
+        table.coalesce(1).write.parquet(f"{path}/edges")
+
+
+FACTS = "target string, numeric array<string>, categorical array<string>, labels array<string>, learner string"
 
 
 def fit_model(
@@ -174,13 +207,14 @@ def fit_model(
     params: dict[str, Any] | None = None,
     exclude: tuple[str, ...] = (),
     seed: int = 42,
-    partitions: int = FIT_PARTITIONS,
+    partitions: int | None = None,
 ) -> ClassModel:
     """Fit vocabularies and a model on a training frame.
 
-    ``params`` override the learner's settings; ``exclude`` leaves features out. The rows are dealt
-    by id to ``partitions`` partitions and ordered by id in each, so that one seed and one number of
-    partitions give one model; for large tables choose several times the cluster's cores.
+    ``learner`` is ``forest``, whose ``params`` are MLlib's, or ``boosted``, whose are those of
+    :class:`kerbstat.plans.boosting.Settings`; they override the contract's. ``exclude`` leaves features out. For a
+    forest the rows are dealt by id to ``partitions`` partitions (by the matrix's size, see :func:`fit_partitions`) and
+    ordered by id in each, so that one seed and one number of partitions give one model.
     """
     numeric, categorical = (
         [c for c in columns if c not in exclude] for columns in feature_columns(train.columns, target)
@@ -190,23 +224,25 @@ def fit_model(
     names = [row["value"] for row in labels.orderBy("code").collect()]
     encoded = encode_target(encode(train, vocabulary, categorical), labels, target)
     columns = [ID, *numeric, *categorical, "label"]
-    matrix = stage(encoded.select(columns), "matrix").repartition(partitions, ID).sortWithinPartitions(*columns).drop(ID)
+    matrix = stage(encoded.select(columns), "matrix")
+    if learner == BoostedModel.learner:
+        settings = boosting.Settings(**{"seed": seed, **(params or {})})
+        boosted = boosting.fit_boosted(matrix, [*numeric, *categorical], len(names), settings, ID)
+        return BoostedModel(None, vocabulary, names, numeric, categorical, target, boosted)
+    if learner != ClassModel.learner:
+        raise ValueError(f"no learner is called {learner}")
 
     # The number of classes travels with the label, so the learner does not look for it.
     classes = {"ml_attr": {"type": "nominal", "num_vals": len(names)}}
-    labelled = matrix.withColumn("label", F.col("label").cast("double").alias("label", metadata=classes))
+    parts = partitions or fit_partitions(matrix.count(), len(columns))
+    dealt = matrix.repartition(parts, ID).sortWithinPartitions(*columns).drop(ID)
+    labelled = dealt.withColumn("label", F.col("label").cast("double").alias("label", metadata=classes))
     assembler = VectorAssembler(inputCols=[*numeric, *categorical], outputCol="features")
-    pipeline = Pipeline(stages=[assembler, _learner(learner, {"seed": seed, **(params or {})})]).fit(labelled)
+    forest = RandomForestClassifier(labelCol="label", featuresCol="features", **{**FOREST, "seed": seed, **(params or {})})
+    pipeline = Pipeline(stages=[assembler, forest]).fit(labelled)
     return ClassModel(pipeline, vocabulary, names, numeric, categorical, target)
 
 
-def _learner(name: str, params: dict[str, Any]):
-    settings = {**LEARNERS[name], **params}
-    if name == "forest":
-        return RandomForestClassifier(labelCol="label", featuresCol="features", **settings)
-    return OneVsRest(classifier=GBTClassifier(**settings), labelCol="label", featuresCol="features", parallelism=4)
-
-
 def predictions(model: ClassModel, frame: DataFrame) -> DataFrame:
     """``(id, label, prediction, probability)`` of a training frame; unseen classes are left out."""
     encoded = encode_target(model.encode(frame), model.label_frame(), model.target)

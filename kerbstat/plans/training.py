@@ -11,7 +11,7 @@ from kerbstat.operators.classes import frequent_classes, rare_class_rows, strati
 from kerbstat.operators.features import load_features, training_frame
 from kerbstat.operators.metrics import report
 from kerbstat.operators.vocabulary import unseen_targets
-from kerbstat.plans.model import FIT_PARTITIONS, ClassModel, fit_model, predictions
+from kerbstat.plans.model import BoostedModel, ClassModel, fit_model, predictions
 from kerbstat.schema import CODE, COLUMN_ROLES
 from kerbstat.session import stage
 
@@ -27,12 +27,19 @@ class TrainingRun:
     split_sizes: DataFrame
     scores: DataFrame
     held_out: DataFrame
+    parts: DataFrame
     path: str | None
 
     def report(self) -> DataFrame:
         """The metric report on the held-out rows, none of which the model was fitted on."""
         return report(self.held_out, self.model.importance(), names=self.model.label_frame())
 
+    def rounds(self) -> DataFrame:
+        """``(split, round, rows, logloss, error)`` of a boosted model: how each part did after every round."""
+        if not isinstance(self.model, BoostedModel):
+            raise ValueError("only a boosted model is made in rounds")
+        return self.model.staged_scores(self.parts)
+
 
 def run_training(
     citations: DataFrame,
@@ -47,7 +54,7 @@ def run_training(
     least_rows: int = 10,
     output: str | None = None,
     seed: int = 42,
-    partitions: int = FIT_PARTITIONS,
+    partitions: int | None = None,
 ) -> TrainingRun:
     """Load, derive features, drop rare classes, split, fit, score the held-out parts, save.
 
@@ -73,6 +80,7 @@ def run_training(
         split_sizes=parts.groupBy("split").agg(F.count("*").alias("rows")),
         scores=scores,
         held_out=held_out,
+        parts=parts,
         path=model.save(output) if output else None,
     )
 

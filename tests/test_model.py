@@ -115,7 +115,7 @@ def test_unseen_classes_are_reported(run, citations):
 
 def test_boosted_learner_keeps_the_contract(spark, citations):
     frame = training_frame(load_features(citations.where("violation_code IN ('0', '1', '2')")))
-    model = fit_model(frame, learner="boosted", params={"maxIter": 2, "maxDepth": 3}, exclude=("is_broadway",))
+    model = fit_model(frame, learner="boosted", params={"rounds": 2, "depth": 3}, exclude=("is_broadway",))
     assert "is_broadway" not in model.features
     out = predictions(model, frame).limit(50).collect()
     for r in out:
