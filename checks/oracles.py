@@ -423,6 +423,7 @@ ORACLES = {
         PREDICTION,
         NAMED,
     ),
+    **{f"view_apply_{name}": _q(sql) for name, sql in VIEWS.items()},
     **{f"view_refresh_{name}": _q(VIEWS[name]) for name in ("precinct_stats", "violation_stats", "monthly_trends")},
     **{
         name: _q(
