@@ -251,6 +251,9 @@ ORACLES = {
     "ticket_scan_limit": _q(
         "SELECT summons_number, violation_code, plate_id FROM citation ORDER BY summons_number LIMIT 1000"
     ),
+    "clustered_limit": _q("SELECT summons_number, violation_code, plate_id FROM citation ORDER BY summons_number LIMIT 1000"),
+    "clustered_limit_where": _q("SELECT summons_number, county FROM citation WHERE county = 'K' ORDER BY summons_number LIMIT 200"),
+    "clustered_chunk": _q("SELECT summons_number, plate_id FROM citation ORDER BY summons_number LIMIT 1234 OFFSET 3702"),
     "geo_scan": _q(
         f"SELECT summons_number, precinct, latitude, longitude FROM citation WHERE {POINT} AND (precinct = '19' OR county = 'K')"
     ),

@@ -21,6 +21,7 @@ from kerbstat.plans.training import TrainingRun, evaluation_frame, run_evaluatio
 from kerbstat.schema import CODE, COLUMN_ROLES, TRAINING_COLUMNS
 from kerbstat.session import stage, work_dir
 from kerbstat.sources import tables
+from kerbstat.sources.clustered import ClusteredTable
 from kerbstat.sources.tpch import citations_from_tpch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -210,6 +211,13 @@ def applied(name: str) -> Callable[[DataFrame], DataFrame]:
     return query
 
 
+def clustered(df: DataFrame) -> ClusteredTable:
+    """The citations in the order of their ids, in twenty files or so."""
+    table = ClusteredTable(df.sparkSession, f"{work_dir(df.sparkSession)}/clustered-{uuid4().hex}")
+    table.write(df, file_rows=-(-df.count() // 20))
+    return table
+
+
 def encoded_features(frame: DataFrame) -> DataFrame:
     """Vocabulary from the five columns alone, then codes straight from the source: no copy of the frame."""
     columns = COLUMN_ROLES["categorical"]
@@ -395,6 +403,16 @@ QUERIES: dict[str, Query] = {
         lambda df: scan.scan(df, ["summons_number", "violation_code", "plate_id"], limit=1000),
         "summons_number", "violation_code", "plate_id",
     ),
+    "clustered_limit": over_citations(
+        lambda df: clustered(df).first(1000, ["summons_number", "violation_code", "plate_id"]),
+        "summons_number", "violation_code", "plate_id",
+    ),
+    "clustered_limit_where": over_citations(
+        lambda df: clustered(df).first(200, ["summons_number", "county"], "county = :c", {"c": "K"}), "summons_number", "county"
+    ),
+    "clustered_chunk": over_citations(
+        lambda df: clustered(df).chunk(3, 1_234, ["summons_number", "plate_id"]), "summons_number", "plate_id"
+    ),
     "geo_scan": over_citations(
         lambda df: scan.scan_points(
             df,
