@@ -7,7 +7,8 @@
    patterns: identical packs are one pattern with a count, so this does not grow with the documents.
 3. Pieces are ranked within their length and look up the pattern, and so the sequence and the offset,
    that their rank falls to. Ranks are counted per length and chunk of rows, with the offsets of chunks
-   added, so that a length that a third of all pieces share is not one group.
+   added, and these summed in two steps, so that a length that a third of all pieces share is not one group.
+   Token ids take no part in this: they are joined to their places once, by the row's key.
 
 Nulls and edge cases: a null text counts as empty, and an empty document is its end id alone; a null id
 is kept; repeated rows are packed each; an empty table gives no rows; only the id and the text are read.
@@ -31,8 +32,10 @@ from kerbstat.llm.common import slices
 from kerbstat.session import stage
 
 SEQUENCE, END_ID = 4096, 2
-#: Pieces in a chunk that is ranked as one group; words whose ids a worker keeps.
-CHUNK, CACHE = 2_000, 400_000
+#: Pieces in a chunk that is ranked as one group, and chunks whose counts are summed as one group.
+CHUNK, CHUNKS = 2_000, 1_000
+#: Words whose ids a worker keeps; bytes of text that it tokenises at once.
+CACHE, SLICE = 300_000, 4 << 20
 
 
 class WordTokenizer:
@@ -51,18 +54,18 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.full, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        spec = json.loads(self.full.to_str())
+        self.own = Tokenizer.from_file(path)
+        spec = json.loads(self.own.to_str())
         kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         self.end = spec["model"]["end_of_word_suffix"]
         self.lowers = kinds == ["NFC", "Replace", "Lowercase"] and bool(self.end)
-        self.bare.normalizer = None
         bytes_of_words = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytes_of_words])
-        vocabulary = self.full.get_vocab()
+        self.whole = self.own.normalizer, self.own.pre_tokenizer
+        self.bare = None, pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytes_of_words])
+        vocabulary = self.own.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if self.end and token.endswith(self.end)]] = True
-        self.marks = {c: self.full.encode(c, add_special_tokens=False).ids[0] for c in ".,"}
+        self.marks = {c: self.own.encode(c, add_special_tokens=False).ids[0] for c in ".,"}
         self.forget()
 
     def forget(self) -> None:
@@ -70,6 +73,13 @@ class WordTokenizer:
         self.ids = np.zeros(0, dtype=np.uint32)
         self.begins = np.zeros(1, dtype=np.int64)
 
+    def lists(self, texts: list[str], steps: tuple) -> list[list[int]]:
+        """Ids of texts, with the tokenizer's own steps before the merges or with the bare ones."""
+        if not texts:
+            return []
+        self.own.normalizer, self.own.pre_tokenizer = steps
+        return [e.ids for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+
     def key(self, word: str) -> tuple[str, int, bool]:
         """``(stem, mark, bare)``: what to encode, the id that follows it or -1, and whether it is normalised."""
         stem, mark = (word[:-1], self.marks[word[-1]]) if word[-1] in ".," else (word, -1)
@@ -83,9 +93,8 @@ class WordTokenizer:
         other = list(dict.fromkeys(stem for stem, _, bare in keys if not bare and stem not in self.known))
         # A token with the end-of-word suffix ends a word, so that many words can be encoded as one text.
         joined = [" ".join(plain[i : i + 1000]) for i in range(0, len(plain), 1000)]
-        parts = [e.ids for e in self.bare.encode_batch_fast(joined, add_special_tokens=False)]
-        new = np.fromiter(chain.from_iterable(parts), dtype=np.uint32)
-        lists = [e.ids for e in self.full.encode_batch_fast(other, add_special_tokens=False)]
+        new = np.fromiter(chain.from_iterable(self.lists(joined, self.bare)), dtype=np.uint32)
+        lists = self.lists(other, self.whole)
         begins = [self.begins, len(self.ids) + np.flatnonzero(self.ends[new]) + 1]
         begins.append(len(self.ids) + len(new) + np.cumsum([len(x) for x in lists], dtype=np.int64))
         self.known |= {stem: len(self.known) + k for k, stem in enumerate(plain + other)}
@@ -134,18 +143,21 @@ def pieces_of(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(tokenizer_path)
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, SLICE):
                 ids, begins = tokenizer.encode(pc.fill_null(batch.column(1), "").cast(pa.string()))
-                rows: list[list] = [[], [], [], [], [], []]
-                for doc, (a, b) in zip(batch.column(0).to_pylist(), zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True), strict=True):
-                    own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
-                    for start in range(0, len(own), sequence):
-                        piece = own[start : start + sequence]
-                        for column, value in zip(rows, (doc, start, len(piece), zlib.crc32(piece.tobytes()), len(own)), strict=False):
-                            column.append(value)
-                        if with_ids:
-                            rows[5].append(piece.astype(np.int32))
-                arrays = [pa.array(x, pa.int64()) for x in rows[:5]] + [pa.array(rows[5], pa.list_(pa.int32()))] * with_ids
+                sizes = np.diff(begins) + 1
+                flat = np.full(len(ids) + len(sizes), end_id, dtype="<u4")
+                flat[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes - 1)] = ids
+                pieces = -(-sizes // sequence)
+                doc = np.repeat(np.arange(len(sizes)), pieces)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * sequence
+                length = np.minimum(sequence, sizes[doc] - start)
+                first = (np.cumsum(sizes) - sizes)[doc] + start
+                crc = [zlib.crc32(flat[a:b]) for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
+                arrays = [batch.column(0).take(pa.array(doc)), *(pa.array(x) for x in (start, length, np.array(crc, np.int64), sizes[doc]))]
+                if with_ids:
+                    offsets = pa.array(np.append(first, len(flat)).astype(np.int32))
+                    arrays.append(pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int32))))
                 yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in schema.split(", ")])
 
     picked = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
@@ -169,10 +181,14 @@ def shortest_pack_first(histogram: dict[int, int], sequence: int = SEQUENCE) ->
                 room[most].append((pack, packs - taken))
             (room[most - length] if most > length else done).append(((length, pack), taken))
             left -= taken
-        if left:
-            rest = sequence - length
-            (room[rest] if rest else done).append(((length, ()), left))
-            most = max(most, rest)
+        each = sequence // length  # a new pack is the one with the most room until it is full
+        for pieces, packs in ((each, left // each), (left % each, 1)):
+            if pieces and packs:
+                pack, rest = (), sequence - pieces * length
+                for _ in range(pieces):
+                    pack = (length, pack)
+                (room[rest] if rest else done).append((pack, packs))
+                most = max(most, rest)
     patterns = []
     for pack, packs in done + [p for free in sorted(room) for p in room[free]]:
         lengths = []
@@ -198,17 +214,33 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     return {length: np.array(rows, dtype=np.int64) for length, rows in found.items()}
 
 
+def places_before(counts: DataFrame) -> DataFrame:
+    """``(length, _chunk, _first)``: how many pieces of the length the chunks before have."""
+    block = F.floor(F.col("_chunk") / CHUNKS)
+    blocks = counts.groupBy("length", block.alias("_block")).agg(F.sum("_n").alias("_own"))
+    by_block = Window.partitionBy("length").orderBy("_block")
+    blocks = blocks.select("length", "_block", (F.sum("_own").over(by_block) - F.col("_own")).alias("_before"))
+    within = Window.partitionBy("length", "_block").orderBy("_chunk")
+    inner = counts.withColumn("_block", block).withColumn("_first", F.sum("_n").over(within) - F.col("_n"))
+    return inner.join(blocks, ["length", "_block"]).select("length", "_chunk", (F.col("_first") + F.col("_before")).alias("_first"))
+
+
 def place(pieces: DataFrame, sequence: int = SEQUENCE, chunk_rows: int = CHUNK) -> DataFrame:
-    """The pieces with ``sequence_id`` and ``offset``; ``pieces`` is read twice and should be staged."""
+    """The pieces with ``sequence_id`` and ``offset``; ``pieces`` is read several times and should be staged.
+
+    Ids, where there are any, need a column ``_key`` that tells rows apart, which is left out of the result.
+    """
+    if "ids" in pieces.columns:
+        placed = place(pieces.select("_key", *[c for c in pieces.columns if c not in ("ids", "_key")]), sequence, chunk_rows)
+        narrow = placed.select("_key", "sequence_id", "offset")
+        return pieces.join(narrow, "_key").select(*[c for c in pieces.columns if c != "_key"], "sequence_id", "offset")
     chunks = max(1, -(-pieces.count() // chunk_rows))
     keyed = pieces.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(chunks)).cast("int"))
     counts = stage(keyed.groupBy("length", "_chunk").agg(F.count("*").alias("_n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     lookup = slots(shortest_pack_first(histogram, sequence))
-    before = Window.partitionBy("length").orderBy("_chunk")
-    firsts = counts.select("length", "_chunk", (F.sum("_n").over(before) - F.col("_n")).alias("_first"))
     within = Window.partitionBy("length", "_chunk").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
-    ranked = keyed.withColumn("_rank", F.row_number().over(within).cast("bigint") - 1).join(firsts, ["length", "_chunk"])
+    ranked = keyed.withColumn("_rank", F.row_number().over(within).cast("bigint") - 1).join(places_before(counts), ["length", "_chunk"])
     ranked = ranked.select(*pieces.columns, (F.col("_first") + F.col("_rank")).alias("_rank"))
     at = pieces.columns.index("length")
 
@@ -230,7 +262,8 @@ def place(pieces: DataFrame, sequence: int = SEQUENCE, chunk_rows: int = CHUNK)
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """``(doc_id, start, length, ids_crc32, doc_tokens[, ids], sequence_id, offset)`` of every piece."""
-    return place(stage(pieces_of(docs, tokenizer_path, sequence, end_id, with_ids), "pieces"), sequence)
+    pieces = pieces_of(docs, tokenizer_path, sequence, end_id, with_ids)
+    return place(stage(pieces.withColumn("_key", F.monotonically_increasing_id()) if with_ids else pieces, "pieces"), sequence)
 
 
 def sequences(packed: DataFrame, sequence: int = SEQUENCE) -> DataFrame:

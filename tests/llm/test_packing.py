@@ -73,10 +73,26 @@ def test_empty_table(spark, tmp_path):
     assert op4_packing(spark, str(tmp_path)).count() == 0
 
 
+def test_blocks_of_chunks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNKS", 3)
+    docs = [(i % 40, "word " * (1 + i % 3)) for i in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows = packing.place(packing.stage(packing.pieces_of(frame, PATH), "pieces"), chunk_rows=10).collect()
+    taken = defaultdict(list)
+    for r in rows:
+        taken[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert len(rows) == 400 and len(taken) == 1
+    at = 0
+    for offset, length in sorted(taken.popitem()[1]):
+        assert offset == at
+        at += length
+
+
 def test_many_chunks_and_ids(spark):
     docs = [(i, "word " * (1 + i % 7)) for i in range(500)]
     frame = spark.createDataFrame(docs, "doc_id bigint, text string")
-    pieces = packing.stage(packing.pieces_of(frame, PATH, with_ids=True), "pieces")
+    keyed = packing.pieces_of(frame, PATH, with_ids=True).withColumn("_key", packing.F.monotonically_increasing_id())
+    pieces = packing.stage(keyed, "pieces")
     rows = packing.place(pieces, chunk_rows=20).collect()
     check(rows, docs)
     assert all(zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes()) == r["ids_crc32"] for r in rows)
@@ -94,9 +110,15 @@ def test_words_give_the_ids_of_whole_texts(tokenizer, texts):
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), min_size=1))
 def test_patterns_use_the_histogram_up(histogram):
-    used = defaultdict(int)
+    used, total = defaultdict(int), 0
     for lengths, packs in packing.shortest_pack_first(histogram, 64):
         assert sum(lengths) <= 64
+        total += packs
         for length in lengths:
             used[length] += packs
     assert used == histogram
+    assert total <= 2 * -(-sum(n * length for length, n in histogram.items()) // 64)  # no two packs fit into one
+
+
+def test_equal_short_lengths_fill_sequences():
+    assert packing.shortest_pack_first({10: 1000}, 64) == [((10,) * 6, 166), ((10,) * 4, 1)]
