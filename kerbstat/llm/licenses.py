@@ -31,34 +31,60 @@ from kerbstat.llm.common import slices
 # The base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Notices in common use, by label.
+# Licenses and notices in common use, by label. Licenses are whole: a text that alters or leaves out a
+# clause is another license. What users fill in (names of holders) is replaceable, numbers of clauses are optional.
 TEMPLATES: dict[str, list[str]] = {
     "apache-2.0": [
         "licensed under the apache license [[version]] 2 0",
         "apache license version 2 0 january 2004",
     ],
     "bsd": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that "
-        "the following conditions are met",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+        "following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of "
+        "conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice "
+        "this list of conditions and the following disclaimer in the documentation and or other materials provided with the "
+        "distribution [[[[3]] neither the name of {{1-12}} nor the names of [[its]] contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission]] this software is provided by {{1-12}} as "
+        "is and any express or implied warranties including but not limited to the implied warranties of merchantability and "
+        "fitness for a particular purpose are disclaimed in no event shall {{1-12}} be liable for any direct indirect incidental "
+        "special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss "
+        "of use data or profits or business interruption however caused and on any theory of liability whether in contract strict "
+        "liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised "
+        "of the possibility of such damage",
         "(released|licensed) under [[the terms of]] the [[new|modified]] [[2|3]] [[clause]] bsd [[2|3]] [[clause]] license",
     ],
     "cc-by": [
         "licensed under [[a|the]] creative commons attribution [[{{1-2}}]] [[4|3|2]] [[0|5]] [[international|unported|generic]] license",
     ],
-    "gpl-2.0": ["licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 2"],
+    "gpl-2.0": [
+        "licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 2",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
+        "license as published by the free software foundation either version 2 of the license",
+    ],
     "gpl-3.0": [
         "licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 3",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
         "license as published by the free software foundation either version 3 of the license",
     ],
     "isc": [
-        "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby "
-        "granted provided that the above copyright notice and this permission notice appear in all copies",
+        "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted "
+        "provided that the above copyright notice and this permission notice appear in all copies the software is provided as is "
+        "and {{1-12}} disclaims all warranties with regard to this software including all implied warranties of merchantability "
+        "and fitness in no event shall {{1-12}} be liable for any special direct indirect or consequential damages or any damages "
+        "whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious "
+        "action arising out of or in connection with the use or performance of this software",
     ],
     "mit": [
         "(released|licensed|distributed|available) under [[the terms of]] the mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this {{1-6}} [[and associated "
-        "documentation files]] [[the {{1-3}}]] to deal in the {{1-3}} without restriction",
+        "permission is hereby granted free of charge to any person obtaining a copy of this {{1-6}} [[and associated documentation "
+        "files]] [[the {{1-3}}]] to deal in the {{1-3}} without restriction including without limitation the rights to use copy "
+        "modify merge publish distribute sublicense and or sell copies of the {{1-3}} and to permit persons to whom the {{1-3}} is "
+        "furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including "
+        "the next paragraph]] shall be included in all copies or substantial portions of the {{1-3}} the {{1-3}} is provided as is "
+        "without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness "
+        "for a particular purpose and noninfringement in no event shall {{1-12}} be liable for any claim damages or other "
+        "liability whether in an action of contract tort or otherwise arising from out of or in connection with the {{1-3}} or the "
+        "use or other dealings in the {{1-3}}",
     ],
     "mpl-2.0": ["subject to the terms of the mozilla public license [[v|version]] 2 0"],
     "proprietary": ["all rights reserved [[{{0-12}}]] (unauthorized|unauthorised) (copying|use|reproduction) [[{{0-12}}]] prohibited"],
@@ -69,6 +95,19 @@ _TO_WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if _WORD[b] else 0x20 for b
 _MARKUP = re.compile(r"\[\[|\]\]|\{\{\d+-\d+\}\}|\(|\)|\||[^\s\[\](){}|]+")
 
 
+def pattern(markup: str) -> str:
+    """The regular expression that a template is over words that are each followed by a blank."""
+    marks = {"[[": "(", "]]": ")?"}
+    parts = []
+    for token in _MARKUP.findall(markup):
+        if token.startswith("{{"):
+            least, most = token[2:-2].split("-")
+            parts.append(f"([^ ]+ ){{{least},{most}}}")
+        else:
+            parts.append(marks.get(token, token if token in "(|)" else f"{token} "))
+    return "".join(parts)
+
+
 class Automaton:
     """A template as a token automaton; state ``i`` has edges on words, on any word (None), and empty ones."""
 

@@ -173,23 +173,10 @@ b AS (SELECT k, i - 1 AS i, CASE WHEN ws[i : i + 1] = ['mit', 'license'] THEN 'm
 n AS (SELECT k, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base
   FROM b WHERE label IS NOT NULL GROUP BY k),
 m AS (SELECT k, list_filter([
-    CASE WHEN regexp_matches(t, ' licensed under the apache license (version )?2 0 | apache license version 2 0 january 2004 ')
-      THEN 'apache-2.0' END,
-    CASE WHEN regexp_matches(t, ' redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met | (released|licensed) under (the terms of )?the ((new|modified) )?([23] )?(clause )?bsd ([23] )?(clause )?license ')
-      THEN 'bsd' END,
-    CASE WHEN regexp_matches(t, ' licensed under ((a|the) )?creative commons attribution ([^ ]+ ){0,2}([234] )?([05] )?((international|unported|generic) )?license ')
-      THEN 'cc-by' END,
-    CASE WHEN regexp_matches(t, ' licensed under the (terms of the )?gnu general public license (as published by the free software foundation )?(either )?version 2 ')
-      THEN 'gpl-2.0' END,
-    CASE WHEN regexp_matches(t, ' licensed under the (terms of the )?gnu general public license (as published by the free software foundation )?(either )?version 3 | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license ')
-      THEN 'gpl-3.0' END,
-    CASE WHEN regexp_matches(t, ' permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies ')
-      THEN 'isc' END,
-    CASE WHEN regexp_matches(t, ' (released|licensed|distributed|available) under (the terms of )?the mit license | permission is hereby granted free of charge to any person obtaining a copy of this ([^ ]+ ){1,6}(and associated documentation files )?(the ([^ ]+ ){1,3})?to deal in the ([^ ]+ ){1,3}without restriction ')
-      THEN 'mit' END,
-    CASE WHEN regexp_matches(t, ' subject to the terms of the mozilla public license ((v|version) )?2 0 ') THEN 'mpl-2.0' END,
-    CASE WHEN regexp_matches(t, ' all rights reserved ([^ ]+ ){0,12}(unauthorized|unauthorised) (copying|use|reproduction) ([^ ]+ ){0,12}prohibited ')
-      THEN 'proprietary' END], lambda x: x IS NOT NULL) AS found FROM s)
+""" + ",\n".join(
+        f"    CASE WHEN regexp_matches(t, ' ({'|'.join(map(licenses.pattern, markups))})') THEN '{label}' END"
+        for label, markups in licenses.TEMPLATES.items()
+    ) + r"""], lambda x: x IS NOT NULL) AS found FROM s)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), found))), ',') AS labels,

@@ -79,6 +79,48 @@ def test_automata_accept_what_the_markup_means(markup, pattern):
             assert automaton.end([w.encode() for w in words], 0) == (ends[0] if ends else None), joined
 
 
+def whole(label, place=-1):
+    """A license's text with its optional parts left out, and names filled in."""
+    markup = licenses.TEMPLATES[label][place]
+    while "[[" in markup:
+        markup = re.sub(r"\[\[[^\[\]]*\]\]", "", markup)
+    return re.sub(r"\{\{\d+-\d+\}\}", "Example Holders", markup)
+
+
+def labels_of(text):
+    plain = text.encode().translate(licenses._TO_WORDS)
+    return {label for label, _, _ in licenses.templates_in(plain.split(), plain)}
+
+
+@pytest.mark.parametrize(("label", "place"), [("mit", 1), ("bsd", 0), ("isc", 0), ("gpl-2.0", 1), ("gpl-3.0", 1)])
+def test_whole_licenses_and_altered_ones(label, place):
+    text = whole(label, place)
+    assert labels_of(f"Copyright 2024 Someone. {text.upper()}! More text.") == {label}
+    words = text.split()
+    for at in range(0, len(words), 3):
+        if words[at] in ("Example", "Holders"):
+            continue
+        assert labels_of(" ".join([*words[:at], "altered", *words[at + 1 :]])) == set(), words[at]
+    assert labels_of(" ".join(words[: len(words) // 2]) + " commercial use is forbidden") == set()
+
+
+def test_three_clauses_and_numbers():
+    two = whole("bsd", 0)
+    numbered = two.replace("met  redistributions", "met 1. Redistributions").replace("disclaimer  redistributions", "disclaimer; 2. Redistributions")
+    third = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    assert labels_of(numbered.replace("distribution  this software", f"distribution. {third} This software")) == {"bsd"}
+    assert labels_of(numbered.replace("distribution  this software", f"distribution. {third[:60]} This software")) == set()
+
+
+@pytest.mark.parametrize("markup", [m for own in licenses.TEMPLATES.values() for m in own])
+def test_pattern_and_automaton_agree(markup):
+    text = re.sub(r"\(([^|()]*)\|[^()]*\)", r"\1", re.sub(r"\[\[|\]\]|\|\S+(?=\]\])", " ", re.sub(r"\{\{\d+-\d+\}\}", "name", markup)))
+    for words in (text.split(), text.split()[:-1]):
+        found = re.search(" (" + licenses.pattern(markup) + ")", " " + " ".join(words) + " ")
+        accepted = any(licenses.Automaton(markup).end([w.encode() for w in words], i) for i in range(len(words)))
+        assert accepted == bool(found)
+
+
 def test_markup_must_begin_with_a_word():
     for bad in ("{{0-1}} a", "[[a]]", "", "a ]] b"):
         with pytest.raises(ValueError):
