@@ -32,8 +32,10 @@ from pyspark.sql import DataFrame, functions as F
 from kerbstat.llm.common import bounded_sample, components, merge_labels, star_edges
 from kerbstat.session import stage
 
-#: Rows of the bounded sample that the tree is fitted on, rows aimed at per shard, rows of a block.
-SAMPLE, SHARD, BLOCK = 65_536, 2_048, 8_192
+#: Rows that the tree is fitted on: so many per shard, and at most (16 MB). Rows that a shard has at least, rows of a block.
+#: Around the middle of 64 bits a shell of two bits on either side holds more than a third of prints without structure, so
+#: every level makes 1.4 times as many visitors: large shards keep the tree flat, and comparing two prints is cheap.
+PER_SHARD, SAMPLE, SHARD, BLOCK = 16, 1 << 21, 32_768, 32_768
 SEED = 42
 _BITS = np.array([[v >> b & 1 for b in range(8)] for v in range(256)], dtype=np.int64)
 
@@ -128,16 +130,22 @@ def linked_stars(home: np.ndarray, other: np.ndarray, bits: int) -> tuple[np.nda
     return star_edges(nodes, label)
 
 
+def depth_for(total: int, shard_rows: int = SHARD) -> int:
+    """Levels of a tree for so many fingerprints."""
+    return max(0, min(int(math.log2(max(1, total / shard_rows))), int(math.log2(SAMPLE // PER_SHARD))))
+
+
 def link_edges(distinct: DataFrame, max_bits: int, shard_rows: int = SHARD, block: int = BLOCK) -> DataFrame:
     """``(a, b)``: edges that connect exactly what links at ``max_bits`` or fewer bits connect.
 
-    ``distinct`` has one row per fingerprint, in a column ``fp``. The sample, the first ``SAMPLE`` by
-    hash, is bounded; so is the tree, and with it the table of shard sizes that comes to the driver.
+    ``distinct`` has one row per fingerprint, in a column ``fp``. The tree's depth follows the table, up to
+    ``SAMPLE / PER_SHARD`` shards; larger tables have larger shards. The sample, the first rows by hash, is bounded; so is
+    the tree, and with it the table of shard sizes that comes to the driver.
     """
     total = distinct.count()
-    picked = bounded_sample(distinct, "fp", SAMPLE, total).toPandas()["fp"]
+    depth = depth_for(total, shard_rows)
+    picked = bounded_sample(distinct, "fp", PER_SHARD << depth, total).toPandas()["fp"]
     sample = picked.to_numpy(dtype=np.int64).view(np.uint64)
-    depth = max(0, min(math.ceil(math.log2(max(1, total / shard_rows))), int(math.log2(max(1, len(sample) / 16)))))
     tree = VantageTree(sample, depth)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
