@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from pathlib import Path
+from urllib.parse import urlparse
 
 import corpus_pipeline
+from kerbstat.session import work_dir
 from tests.conftest import SMALL
 from tests.llm import test_packing, test_pii, test_simhash
 
@@ -31,7 +34,7 @@ def plain_kept(text):
 def plain_redacted(text):
     out, at = "", 0
     for start, _, end, kind in test_pii.plain_spans(text):
-        if start >= at:
+        if end > at:  # of a span that reaches beyond those before it, the rest goes as well
             out, at = f"{out}{text[at:start]}[{kind.upper()}]", end
     return out + text[at:]
 
@@ -46,6 +49,36 @@ def test_run_matches_plain_stages(spark):
     test_packing.check(rows, docs)
 
 
+def test_long_repeated_and_tied_rows_without_ids(spark, tmp_path):
+    overlap = "mail 1.1.1.1+1 2345678901@x.yz or call +1 (437) 555-0689 about the ten words that follow here today"
+    long = " ".join(f"word{i} of the long text" for i in range(20_000))
+    lone = "a text without an id that stands alone and has more than ten words in it as well"
+    rows = [
+        (1, overlap), (1, overlap), (2, overlap), (None, overlap), (None, lone), (None, lone), (3, long), (4, long), (3, "short"),
+        (None, None), (5, ""), (6, "###### $$$ %%%%% &&&& |||| <<<< >>>> **** #### $$$$ %%%% &&&&"), (7, "same words " * 30),
+    ]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0, i, "x") for i, (d, t) in enumerate(rows)],
+        "doc_id bigint, text string, lang string, source string, n_chars bigint, failures int, fp string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = [(1, plain_redacted(overlap)), (None, lone), (3, long)]
+    assert plain_redacted(overlap).startswith("mail [IP][PHONE][EMAIL] or call [PHONE] about")
+    test_packing.check(got, want)
+    for doc, text in want:
+        pieces = sorted((r["start"], r["ids"]) for r in got if r["doc_id"] == doc)
+        assert [i for _, ids in pieces for i in ids] == test_packing.whole_ids(text)
+
+
+def test_a_run_leaves_its_result_alone(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i} " + " ".join(f"w{i * j}" for j in range(20))) for i in range(1, 6)], "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    shared = Path(urlparse(work_dir(spark)).path)
+    before = {p for p in shared.rglob("*.parquet")}
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 5
+    left = {p.relative_to(shared).parts for p in shared.rglob("*.parquet") if p not in before}
+    assert {parts[1] for parts in left} == {"packing"} and len({parts[0] for parts in left}) == 1
+
+
 def test_packing_returns_the_ids(spark):
     docs = [(1, "some text"), (2, "word " * 5000), (None, None)]
     rows = corpus_pipeline.packed_sequences(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), SMALL).collect()
