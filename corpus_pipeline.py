@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kerbstat.llm import packing, pii, quality, queries, simhash
 from kerbstat.llm.common import table
-from kerbstat.session import work_dir
+from kerbstat.session import remove, staging, work_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -55,12 +55,18 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    docs, root = table(spark, folder, "documents"), f"{work_dir(spark)}/pipeline-{uuid4().hex}"
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    What a stage staged, and the documents that it read, are removed once its own are written; the result's folder stays.
+    """
+    docs, root, before = table(spark, folder, "documents"), f"{work_dir(spark)}/pipeline-{uuid4().hex}", None
     for name, stage in STAGES:
         path = f"{root}/{name}"
-        stage(spark, docs, folder).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with staging(spark):
+            stage(spark, docs, folder).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
 
 
