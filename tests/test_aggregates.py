@@ -111,3 +111,25 @@ def test_rows_are_shuffled_once(spark, citations, conf):
     conf("spark.sql.adaptive.enabled", "false")
     plan = location_risk_scores(citations)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+@pytest.mark.parametrize("ordered", [2, 5, 1000])
+def test_median_by_narrowed_ranges(spark, ordered):
+    rng = random.Random(8)
+    groups = {
+        "even": [rng.random() for _ in range(400)], "odd": [rng.gauss(0, 1e6) for _ in range(401)], "skew": [2.0 ** rng.randrange(-40, 60) for _ in range(300)],
+        "one": [7.0] * 50, "two": [1.0, 1e300], "far": [1.0] * 10 + [float(i) for i in range(2, 100)] + [1e18], None: [float(i % 90) for i in range(1000)],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
+    got = {r["k"]: r for r in exact_median(df, ["k"], "v", ordered=ordered).collect()}
+    assert got.keys() == groups.keys()
+    for k, vs in groups.items():
+        assert got[k]["_median"] == pytest.approx(median(vs), rel=1e-12), k
+        assert (got[k][ROWS], got[k]["_min"], got[k]["_max"]) == (len(vs), min(vs), max(vs))
+
+
+def test_median_of_a_group_of_a_million_values(spark):
+    df = spark.range(1_000_000).select(F.lit("hot").alias("k"), (F.col("id") * F.col("id")).cast("decimal(20,2)").alias("v"))
+    df = df.unionByName(spark.createDataFrame([("small", Decimal(3)), ("small", Decimal(4))], "k string, v decimal(20,2)"))
+    got = {r["k"]: r["_median"] for r in exact_median(df, ["k"], "v").collect()}
+    assert got == {"hot": (499_999**2 + 500_000**2) / 2, "small": 3.5}
