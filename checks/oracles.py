@@ -438,7 +438,7 @@ ORACLES = {
     },
     "boosted_rounds_facts": _q(
         """SELECT split, CAST(round AS INT) AS round, count(*) AS rows, CASE WHEN split = 'train' THEN true END AS falls
-  FROM parts, range(1, 16) AS r(round) GROUP BY split, round""",
+  FROM parts, range(1, 9) AS r(round) GROUP BY split, round""",
         FEATURES, FINAL, PARTS,
     ),
     "boosted_saved_facts": _q("SELECT summons_number, true AS unchanged FROM parts WHERE split <> 'train'", FEATURES, FINAL, PARTS),

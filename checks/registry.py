@@ -29,7 +29,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 DATES = {"start": "1995-01-01", "end": "1997-01-01"}
 CLASSES = 50
 #: The registered boosted model; the contract's 200 rounds of depth 8 are the default of the library.
-BOOST = {"rounds": 15, "depth": 5, "max_bins": 64}
+BOOST = {"rounds": 8, "depth": 4, "max_bins": 64}
 #: What stands in for a request's missing time.
 NOW = datetime(2024, 1, 15, 14, 30)
 
