@@ -34,8 +34,8 @@ from kerbstat.session import stage
 
 #: Rows that the tree is fitted on: so many per shard, and at most (16 MB). Rows that a shard has at least, rows of a block.
 #: Around the middle of 64 bits a shell of two bits on either side holds more than a third of prints without structure, so
-#: every level makes 1.4 times as many visitors: large shards keep the tree flat, and comparing two prints is cheap.
-PER_SHARD, SAMPLE, SHARD, BLOCK = 16, 1 << 21, 32_768, 16_384
+#: every level makes 1.4 times as many visitors; smaller shards still cost less than comparing more prints.
+PER_SHARD, SAMPLE, SHARD, BLOCK = 16, 1 << 21, 2_048, 8_192
 SEED = 42
 _BITS = np.array([[v >> b & 1 for b in range(8)] for v in range(256)], dtype=np.int64)
 
