@@ -40,3 +40,33 @@ def test_staged_tables_go_when_a_job_fails(spark):
 )
 def test_node_local_folders_are_told_apart(folder, shared, default_fs, good):
     assert session.reachable(folder, shared, default_fs) is good
+
+
+def test_a_shared_mount_serves_a_cluster(spark, monkeypatch):
+    own = session.work_dir(spark)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://driver:7077")  # all that tells it from a local session
+    assert session.work_dir(spark) == own
+    with session.staging(spark):
+        assert session.stage(spark.range(5), "inside").count() == 5
+
+
+def test_folders_that_do_not_give_back_are_passed_over(spark, monkeypatch):
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://driver:7077")
+    own = session.work_dir(spark)
+    monkeypatch.setattr(session, "gives_back", lambda _, folder: folder.rstrip("/") != own)
+    assert session.work_dir(spark).endswith("/kerbstat-work")
+    monkeypatch.setattr(session, "gives_back", lambda _, folder: False)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.work_dir(spark)
+
+
+def test_trial_of_a_folder(spark, tmp_path):
+    (tmp_path / "file").touch()
+    assert not session.gives_back(spark, f"file://{tmp_path}/file/below")
+    assert session.gives_back(spark, f"file://{tmp_path}/whole")
+    assert not list((tmp_path / "whole").iterdir())
+    short = tmp_path / "short"
+    part = type(spark.range(0)).count
+    with pytest.MonkeyPatch.context() as patch:  # a part that another machine keeps
+        patch.setattr(type(spark.range(0)), "count", lambda df: part(df) - 1)
+        assert not session.gives_back(spark, f"file://{short}")
