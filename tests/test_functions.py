@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from checks.registry import QUERIES
 from kerbstat.functions import clock, place, text
 
 HOURS = [
@@ -84,3 +87,17 @@ def test_grids(spark):
     assert [r[0] for r in rows] == [0.01, 0.02, None]
     assert [r[1] for r in rows] == [40.501, -74.201, None]
     assert rows[2][2] is None
+
+
+def test_feature_frame_is_compiled_in_small_methods(spark, capsys):
+    """HotSpot compiles methods of 8000 bytes at most, whatever Spark's own limit is set to."""
+    QUERIES["features_final"](spark, "/root/testdata/sf0.001").explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 6000
+
+
+def test_hours_do_not_touch_other_columns(spark):
+    df = spark.createDataFrame([(None, 1), ("1130P", 2), ("1130P", 2)], "t string, _number int")
+    out = clock.add_lenient_hour(df, "t")
+    assert out.columns == ["t", "_number", "hour"]
+    assert sorted(map(tuple, out.collect()), key=str) == [("1130P", 2, 23), ("1130P", 2, 23), (None, 1, None)]
