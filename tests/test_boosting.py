@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
+import subprocess
+import sys
 from dataclasses import replace
 from uuid import uuid4
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from kerbstat.operators.features import load_features, training_frame
@@ -180,3 +185,33 @@ def test_unknown_learner_and_rounds_of_a_forest(citations):
     frame = training_frame(load_features(citations.limit(200)))
     with pytest.raises(ValueError, match="no learner"):
         fit_model(frame, learner="bosted")
+
+
+def test_tasks_need_no_package(table, tmp_path, monkeypatch):
+    """What executors run loads, and answers, in a process that can't import the package."""
+    frame = table[0]
+    sent, rows, groups = [], type(frame), type(frame.groupBy())
+
+    def noted(kind, name):
+        own = getattr(kind, name)
+        monkeypatch.setattr(kind, name, lambda self, work, schema: sent.append(work) or own(self, work, schema))
+
+    noted(rows, "mapInArrow")
+    noted(groups, "applyInPandas")
+    settings = replace(SETTINGS, rounds=2, stored=1)
+    boosted = boosting.fit_boosted(frame, FEATURES, 4, settings)
+    boosting.staged_scores(frame, boosted)
+    chances = boosting.probabilities(boosted).func
+    values = pd.Series([[1.0, 2.0, 3.0], [float("nan"), 0.0, 9.0]])
+    for i, work in enumerate([*sent, chances]):
+        (tmp_path / f"{i:03}").write_bytes(cloudpickle.dumps(work))
+    (tmp_path / "values").write_bytes(pickle.dumps(values))
+    script = """if 1:
+        import pickle, pathlib
+        *works, values = [pickle.loads(p.read_bytes()) for p in sorted(pathlib.Path().iterdir())]
+        print(len(works), works[-1](values).map(list).tolist())
+    """
+    done = subprocess.run([sys.executable, "-I", "-c", script], cwd=tmp_path, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    assert done.stdout.split(" ", 1) == [str(len(sent) + 1), f"{chances(values).map(list).tolist()}\n"]
+    assert len(sent) >= 2 + 2 * settings.rounds
