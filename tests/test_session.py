@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from checks.registry import QUERIES
 from kerbstat import session
 
 
@@ -70,3 +71,29 @@ def test_trial_of_a_folder(spark, tmp_path):
     with pytest.MonkeyPatch.context() as patch:  # a part that another machine keeps
         patch.setattr(type(spark.range(0)), "count", lambda df: part(df) - 1)
         assert not session.gives_back(spark, f"file://{short}")
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Tables of 400 line items."""
+    root, day = f"file://{tmp_path_factory.mktemp('tables')}", "timestamp'1995-03-01' + make_dt_interval(cast(id % 500 as int))"
+    tables = {
+        "lineitem": ["id div 4 AS l_orderkey", "id % 90 AS l_partkey", "id % 60 AS l_suppkey", "CAST(id % 4 AS INT) AS l_linenumber",
+                     "CAST(id % 50 AS DOUBLE) AS l_quantity", "CAST(id AS DOUBLE) AS l_extendedprice", f"{day} AS l_shipdate"],
+        "orders": ["id AS o_orderkey", f"{day} AS o_orderdate"],
+        "part": ["id AS p_partkey", "concat('B', id % 5) AS p_brand"],
+    }
+    for name, columns in tables.items():
+        spark.range(400).selectExpr(*columns).write.parquet(f"{root}/{name}.parquet")
+    return root
+
+
+@pytest.mark.parametrize(
+    "query",
+    ["clustered_limit", "clustered_limit_where", "clustered_chunk", "confusion_topn", "csv_roundtrip", "encoded_features", "encoded_target",
+     "fine_distribution", "heatmap_points", "hotspots_top", "metric_report", "rare_class_filter"],
+)
+def test_queries_that_stage_run_on_a_cluster_with_a_shared_mount(spark, folder, query, monkeypatch):
+    local = sorted(map(str, QUERIES[query](spark, folder).collect()))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://driver:7077")
+    assert sorted(map(str, QUERIES[query](spark, folder).collect())) == local
