@@ -6,6 +6,7 @@ import pytest
 
 from checks.registry import QUERIES
 from kerbstat import session
+from kerbstat.plans.model import FOREST
 
 
 def folders(spark):
@@ -97,3 +98,12 @@ def test_queries_that_stage_run_on_a_cluster_with_a_shared_mount(spark, folder,
     local = sorted(map(str, QUERIES[query](spark, folder).collect()))
     monkeypatch.setattr(spark.sparkContext, "master", "spark://driver:7077")
     assert sorted(map(str, QUERIES[query](spark, folder).collect())) == local
+
+
+@pytest.mark.parametrize("query", ["feature_importance", "feature_importance_facts", "model_info", "model_info_facts", "saved_model_facts"])
+def test_forests_run_on_a_cluster_with_a_shared_mount(spark, folder, query, monkeypatch):
+    monkeypatch.setitem(FOREST, "numTrees", 3)
+    local = sorted(map(str, QUERIES[query](spark, folder).collect()))
+    assert local
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://driver:7077")
+    assert sorted(map(str, QUERIES[query](spark, folder).collect())) == local
