@@ -181,6 +181,24 @@ def test_no_worse_than_a_forest(run, citations):
     assert shares[0] >= shares[1]
 
 
+def test_the_query_fits_the_whole_contract(spark, monkeypatch):
+    from checks import registry
+
+    asked = {}
+
+    def training(citations, **options):
+        asked.update(options)
+        raise StopIteration
+
+    monkeypatch.setattr(registry, "run_training", training)
+    monkeypatch.setattr(registry, "citations_from_tpch", lambda spark, path, columns: None)
+    with pytest.raises(StopIteration):
+        registry.QUERIES["boosted_predict"](spark, "nowhere")
+    settings = Settings(**(asked.get("params") or {}))
+    assert asked["learner"] == "boosted" and not asked.get("sample")
+    assert settings == Settings() and (settings.rounds, settings.depth, settings.rate, settings.max_bins) == (200, 8, 0.1, 256)
+
+
 def test_unknown_learner_and_rounds_of_a_forest(citations):
     frame = training_frame(load_features(citations.limit(200)))
     with pytest.raises(ValueError, match="no learner"):
