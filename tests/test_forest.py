@@ -76,6 +76,39 @@ def test_tables_in_parts_add_up(rows, monkeypatch):
     assert (whole.feature == parts.feature).all() and (whole.cut == parts.cut).all() and (whole.counts == parts.counts).all()
 
 
+def test_features_that_come_together_are_counted_as_one():
+    rng = np.random.default_rng(1)
+    day = rng.integers(1, 8, 5000)
+    bins = np.column_stack([day, rng.integers(0, 30, 5000), day > 5, rng.integers(0, 3, 5000), day % 3]).astype(np.uint8)
+    sizes = np.array([8, 30, 2, 3, 3])
+    groups = forest.joint_codes(bins, sizes, 30)
+    assert len(groups) == 2 and sorted(len(ways) for _, ways in groups) == [21, 30]
+    places = np.column_stack([ways[code] for code, ways in groups])
+    assert (np.sort(places, axis=1) == bins + np.cumsum(sizes) - sizes).all()
+    alone = forest.joint_codes(bins, sizes, 0)
+    assert len(alone) == 5 and sum(len(ways) for _, ways in alone) == 7 + 30 + 2 + 3 + 3
+
+
+def test_slices_and_joint_counts_do_not_matter(rows, monkeypatch):
+    settings = forest.Settings(**{**ONE_TREE, "numTrees": 4, "subsamplingRate": 0.8})
+    own = forest.joint_codes
+    whole = forest.fit_forest(rows, FEATURES, 4, settings, partitions=1)
+    monkeypatch.setattr(forest, "SLICE", 37)
+    monkeypatch.setattr(forest, "joint_codes", lambda bins, sizes, limit: own(bins, sizes, 1 << 14))
+    parts = forest.fit_forest(rows, FEATURES, 4, settings, partitions=2)
+    assert (whole.feature == parts.feature).all() and (whole.cut == parts.cut).all() and (whole.counts == parts.counts).all()
+
+
+def test_rare_numbers_of_draws_and_copies():
+    key, s = np.arange(50_000, dtype=np.int64) * 104_729, forest.Settings(subsamplingRate=0.8)
+    copies = np.where(np.arange(50_000) % 7 == 0, 9, 1)
+    drawn, at = forest.weights(key, forest.alike(copies, s), 3, 42), forest.mixed(key, 42, 3)
+    for n in (1, 9):
+        least, cumulated = forest.chances(n, 0.8, True)
+        assert (drawn[copies == n] == least + np.searchsorted(cumulated, at[copies == n], side="right")).all()
+    assert drawn[copies == 1].max() > 5
+
+
 def test_copies_are_drawn_as_often_as_rows():
     for bootstrap in (True, False):
         least, one = forest.chances(1, 0.8, bootstrap)
