@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
@@ -132,6 +133,34 @@ def test_a_row_that_is_there_often_is_one_row_of_the_matrix(spark):
     assert own.counts[:, 0].sum(axis=1) == pytest.approx([1000, 1000], abs=150)
 
 
+def test_answers_are_means_over_the_leaves(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    grid = forest.Boosted(["a", "b"], [np.arange(6.0), np.arange(3.0)], 3)
+    own = forest.Forest.empty(grid, 4, 3)
+    own.counts[:] = rng.integers(0, 9, own.counts.shape)
+    for tree, splits in enumerate(([], [0], [0, 1, 3, 4], [0, 2, 5])):  # a leaf alone, and trees that end early on either side
+        for node in splits:
+            own.feature[tree, node] = rng.integers(0, 2)
+            own.cut[tree, node] = rng.integers(0, 4)
+    values = np.column_stack([rng.integers(-1, 7, 50), rng.integers(-1, 4, 50)]).astype(float)
+    values[::9, 0] = np.nan
+
+    def plain(row):
+        total = np.zeros(3)
+        for feature, cut, counts in zip(own.feature, own.cut, own.counts, strict=True):
+            node = 0
+            while feature[node] >= 0:
+                node = 2 * node + 1 + int(row[feature[node]] > cut[node])
+            total += counts[node] / max(counts[node].sum(), 1)
+        return total / total.sum()
+
+    want = [plain(r) for r in grid.bins(values)]
+    for rows in (forest.PART, 3):
+        monkeypatch.setattr(forest, "PART", rows)
+        found = forest.probabilities(own).func(pd.Series(list(values)))
+        assert np.allclose(np.stack(found.to_numpy()), want, atol=1e-12)
+
+
 def test_features_that_are_tried():
     subset = lambda strategy, trees=10: forest.Settings(numTrees=trees, featureSubsetStrategy=strategy).subset(18)
     assert [subset(s) for s in ("0.8", "all", "sqrt", "log2", "onethird", "auto", "3", "30")] == [15, 18, 5, 5, 6, 5, 3, 18]
