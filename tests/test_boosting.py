@@ -199,6 +199,21 @@ def test_the_query_fits_the_whole_contract(spark, monkeypatch):
     assert settings == Settings() and (settings.rounds, settings.depth, settings.rate, settings.max_bins) == (200, 8, 0.1, 256)
 
 
+def test_tasks_get_no_tree_that_is_in_the_stored_margins(table, monkeypatch):
+    frame, sent = table[0], []
+
+    def noted(self, work, schema):
+        sent.append(len(cloudpickle.dumps(work)))
+        raise StopIteration
+
+    monkeypatch.setattr(type(frame), "mapInArrow", noted)
+    for number in (0, 50):
+        boosted = Boosted(FEATURES, [np.arange(5.0)] * 3, 4, [boosting.Tree.empty(8, 4) for _ in range(number)])
+        with pytest.raises(StopIteration):
+            boosting.grow(frame, boosted, number, SETTINGS)
+    assert sent[1] < sent[0] + 1000
+
+
 def test_unknown_learner_and_rounds_of_a_forest(citations):
     frame = training_frame(load_features(citations.limit(200)))
     with pytest.raises(ValueError, match="no learner"):
